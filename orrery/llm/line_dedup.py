@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.text import BLANKS, ascii_lower, let
+from orrery.session import written
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -46,25 +47,22 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
             lambda x: F.struct(F.xxhash64(x["k"]).alias("a"), F.hash(x["k"]).alias("b"), F.struct(version.alias("v"), x["i"].alias("i")).alias("at")),
         )
 
-    held = (
+    rows = (
         docs.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars))
         .select("doc_id", F.inline(let(F.xxhash64("text"), hashed)).alias("a", "b", "at"))
-        .groupBy("a", "b", "doc_id")
-        .agg(F.collect_set("at").alias("at"))
     )
+    # written, so that texts are hashed once and both sides of the join are plain tables, whose skewed keys can be split
+    rows = written(rows, "lines")
+    once = rows.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("_one"))
     over = (
-        held.groupBy("a", "b")
+        once.groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs)
         .select("a", "b", "keeper")
     )
-    drops = (
-        held.join(over.hint("merge"), ["a", "b"])
-        .where(F.col("doc_id") != F.col("keeper"))
-        .select(F.col("doc_id").alias("_drop_id"), "at")
-        .groupBy("_drop_id")
-        .agg(F.flatten(F.collect_list("at")).alias("_drop_at"))
-    )
+    over = written(over, "lines-over")
+    gone = written(rows.join(over.hint("merge"), ["a", "b"]).where(F.col("doc_id") != F.col("keeper")).select(F.col("doc_id").alias("_drop_id"), "at"), "lines-gone")
+    drops = gone.groupBy("_drop_id").agg(F.collect_list("at").alias("_drop_at"))
     joined = docs.join(drops.hint("shuffle_hash"), docs["doc_id"] == drops["_drop_id"], "left")
 
     # of rows that repeat a doc_id, each has its own version of the text
