@@ -1,0 +1,84 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from orrery.functions import checks, geo, metrics, rdf
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first()["x"]
+
+
+@pytest.mark.parametrize("x, p, error", [(float("nan"), 0.0, "NonFinite"), (-0.5, 0.0, "OutOfRange"), (1.5, 1.0, "OutOfRange"), (0.25, 0.25, None), (math.inf, 1.0, "NonFinite")])
+def test_probability(spark, x, p, error):
+    assert one(spark, checks.saturate(F.lit(x))) == p
+    assert one(spark, checks.probability_error(F.lit(x))) == error
+
+
+def test_logarithm(spark):
+    assert one(spark, checks.to_log(F.lit(0.0))) == -math.inf
+    assert one(spark, checks.from_log(F.lit(-math.inf))) == 0
+    assert one(spark, checks.from_log_error(F.lit(0.1))) == "OutOfRange"
+
+
+def test_clocks(spark):
+    big = F.lit(2**63 - 1)
+    assert one(spark, checks.from_secs(big)) == 2**63 - 1
+    assert one(spark, checks.from_millis(-big)) == -(2**63)
+    assert one(spark, checks.as_millis(F.lit(-1).cast("long"))) == -1
+    assert one(spark, checks.duration_since(F.lit(1).cast("long"), F.lit(5).cast("long"))) == 0
+    assert one(spark, checks.add_micros(big, F.lit(1).cast("long"))) == 2**63 - 1
+    assert one(spark, checks.next_version(big)) is None
+
+
+def test_moves(spark):
+    for command, status, after in (("Retire", "Active", "Retired"), ("Reactivate", "Active", None), ("Merge", "Merged", "Merged"), ("Merge", "Retired", None)):
+        assert one(spark, checks.move(F.lit(command), F.lit(status))) == after
+
+
+@pytest.mark.parametrize("losses, bad", [((1.0, 1.0, 1.0, 1.0), None), ((1.0, -1.0, 1.0, 1.0), "false_create"), ((math.inf, -1.0, 1.0, 1.0), "false_assign")])
+def test_losses(spark, losses, bad):
+    assert one(spark, checks.loss_error(*map(F.lit, losses))) == bad
+
+
+def test_paris_london(spark):
+    d = one(spark, geo.haversine(*map(F.lit, (48.8566, 2.3522, 51.5074, -0.1278))))
+    assert abs(d - 343_556) < 1_000
+    assert math.isnan(one(spark, geo.haversine(*map(F.lit, (91.0, 0.0, 0.0, 0.0)))))
+
+
+def test_gaussian(spark):
+    ll = lambda *x: one(spark, geo.gaussian_log_likelihood(*[F.lit(float(v)) for v in x]))
+    assert ll(-3, -4, 8, 0, 8) == pytest.approx(-1.5625)
+    assert ll(0, 0, 0, 0, 0) == 0
+    assert ll(1, 0, 0, 0, 0) == -math.inf
+    assert ll(1, 0, 1, 2, 1) is None
+    assert ll(1e200, 0, 1e300, 0, 1e300) == pytest.approx(-0.5e100)
+
+
+def test_metrics(spark):
+    tp, fp, fn = F.lit(3), F.lit(1), F.lit(2)
+    assert one(spark, metrics.precision(tp, fp)) == 0.75
+    assert one(spark, metrics.recall(tp, fn)) == 0.6
+    assert one(spark, metrics.f1(tp, fp, fn)) == pytest.approx(2 / 3)
+    assert one(spark, metrics.precision(F.lit(0), F.lit(0))) == 0
+    r = metrics.calibration(spark.createDataFrame([(0.8, True), (0.2, False)], "p double, outcome boolean"), 2).first()
+    assert (r["nll"], r["brier"], r["ece"]) == pytest.approx((-math.log(0.8), 0.04, 0.2))
+    with pytest.raises(ValueError):
+        metrics.calibration(spark.range(0).select(F.lit(0.5).alias("p"), F.lit(True).alias("outcome")), 0)
+
+
+def test_rdf(spark):
+    assert one(spark, rdf.literal(F.lit('a\\"\n\t'))) == 'a\\\\\\"\\n\\t'
+    assert [one(spark, rdf.is_absolute_iri(F.lit(x))) for x in ("urn:a", "", "no", "urn:a b", "urn:<")] == [True, False, False, False, False]
+    e = spark.createDataFrame([(1, 0, 7, 0.8), (1, 1, None, 0.1), (1, 2, None, 0.1)], "inference_id long, outcome_rank int, identity_id long, p double")
+    d = spark.createDataFrame([(1, "assign")], "inference_id long, action string")
+    for profile, word in (("rdf11", "rdf:Statement"), ("rdf12", "rdf:reifies")):
+        lines = [r["line"] for r in rdf.decision_lines(e, d, "urn:x:", profile).orderBy("place").collect()]
+        assert len(lines) == 4 and word in lines[0] and "0.80000000000000004" in lines[0] and 'li:action "assign"' in lines[3]
+    pub = rdf.nanopublication_lines(spark.createDataFrame([(1, 2)], "decision_id long, observation_id long"), "urn:x:", "urn:me").collect()
+    assert len(pub) == 4
+    assert len([x for x in rdf.shapes("urn:x:") if "sh:NodeShape" in x]) == 8
+    with pytest.raises(ValueError):
+        rdf.shapes("not an iri")
