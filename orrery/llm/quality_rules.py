@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.text import BLANK, BLANKS, let, words
+from orrery.session import written
 
 MIN_WORDS = 50
 #: A line of a host that more documents hold than this is removed.
@@ -82,14 +83,18 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = MIN_WO
     row for each map task; the join back is a sort-merge join, whose skewed keys are split.
     """
     version = F.xxhash64("text")
-    held = (
+    rows = (
         docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
         .select("doc_id", F.inline(let(version, lambda v: _host_lines(F.col("text"), F.col(host), v))).alias("line", "version", "words"))
         .groupBy("line", "doc_id", "version")
         .agg(F.sum("words").alias("words"))
     )
-    over = held.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("line")
-    removed = held.join(over.hint("merge"), "line").groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.sum("words").alias("_removed"))
+    # written, so that texts are hashed once and both sides of the join are plain tables, whose skewed keys can be split
+    held = written(rows, "host-lines")
+    over = held.groupBy("line", "doc_id").agg(F.lit(1).alias("_one")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("line")
+    over = written(over, "host-lines-over")
+    gone_lines = written(held.join(over.hint("merge"), "line").select("doc_id", "version", "words"), "host-lines-gone")
+    removed = gone_lines.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.sum("words").alias("_removed"))
     stats = docs.select("doc_id", version.alias("_v"), text_statistics(F.col("text")).alias("s")).select("doc_id", "_v", "s.*")
     found = stats.join(removed, (stats["doc_id"] == removed["_id"]) & (stats["_v"] == removed["_version"]), "left")
     gone = F.coalesce("_removed", F.lit(0)).cast("long")
