@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: Edge roles with their codes and the kinds of their ends (fixed values).
 ROLES = (
-    (0, "Occur", "Event", "Physical"),
-    (1, "Describe", "State", "Physical"),
-    (2, "Triggers", "Event", "Event"),
-    (3, "Changes", "Event", "State"),
-    (4, "Instance", "Physical", "Semantic"),
-    (5, "Subclass", "Semantic", "Semantic"),
+    (0, "Triggers", "State", "Event"),
+    (1, "LeadsTo", "Event", "State"),
+    (2, "Evolution", "State", "State"),
+    (3, "Contain", "Event", "Event"),
+    (4, "Occur", "Event", "Physical"),
+    (5, "Influence", "Event", "Physical"),
 )
 
 
@@ -20,13 +20,22 @@ def roles(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(ROLES), "code int, role string, source_kind string, target_kind string")
 
 
-def role_code(role: Column) -> Column:
-    out = F.lit(None).cast("int")
-    for code, name, _, _ in ROLES:
-        out = F.when(role == name, F.lit(code)).otherwise(out)
+def _by_role(role: Column, place: int, kind: str) -> Column:
+    out = F.lit(None).cast(kind)
+    for r in ROLES:
+        out = F.when(role == r[1], F.lit(r[place])).otherwise(out)
     return out
 
 
+def role_code(role: Column) -> Column:
+    return _by_role(role, 0, "int")
+
+
+def end_kinds(role: Column) -> tuple[Column, Column]:
+    """Kinds of a relation's source and target."""
+    return _by_role(role, 2, "string"), _by_role(role, 3, "string")
+
+
 def profile_error(predicates: dict[str, str]) -> str | None:
     """A host schema names a distinct, non-empty predicate for each role."""
     if set(predicates) != {r[1] for r in ROLES} or not all(predicates.values()):
@@ -41,15 +50,18 @@ def add_nodes(nodes: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]
     return nodes.unionByName(added), twice
 
 
-def materialize(requests: DataFrame, nodes: DataFrame, source_kind: str, target_kind: str) -> DataFrame:
-    """``requests`` (seq, materialization_id, role, source, target) with ``outcome``.
+def materialize(requests: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``requests`` (seq, materialization_id, role, source, target) with ``outcome``; ``nodes``: node, kind.
 
+    The role says of which kinds the ends are.
     In order of ``seq``: the first request of an id whose ends exist is Inserted; a later one with the same
     payload is Replayed, with another one a Collision; before that a missing end is reported, the source
     first.  Set-based: the inserted row of an id comes from one aggregation, joined back.
     """
-    has = lambda kind, name: nodes.where(F.col("kind") == kind).select(F.col("node").alias(name)).dropDuplicates().withColumn(f"_has_{name}", F.lit(True))
-    known = requests.join(has(source_kind, "source"), "source", "left").join(has(target_kind, "target"), "target", "left")
+    has = lambda name: nodes.select(F.col("node").alias(name), F.col("kind").alias(f"_{name}_kind")).dropDuplicates().withColumn(f"_has_{name}", F.lit(True))
+    source_kind, target_kind = end_kinds(F.col("role"))
+    known = requests.withColumn("_source_kind", source_kind).withColumn("_target_kind", target_kind)
+    known = known.join(has("source"), ["source", "_source_kind"], "left").join(has("target"), ["target", "_target_kind"], "left")
     ok = F.col("_has_source").isNotNull() & F.col("_has_target").isNotNull()
     first = known.where(ok).groupBy("materialization_id").agg(F.min(F.struct("seq", "role", "source", "target")).alias("_first"))
     x = known.join(first, "materialization_id", "left")

@@ -450,7 +450,7 @@ def outbox_pending(spark, sf_dir):
     return outbox.pending(box, receipts)
 
 
-_HOST = """r AS (SELECT event_id AS seq, event_id % 700 AS mid, CASE WHEN event_type = 'error' THEN 'Occur' ELSE 'Triggers' END AS role, user_id % 40 AS target, user_id AS src FROM events),
+_HOST = """r AS (SELECT event_id AS seq, event_id % 700 AS mid, CASE WHEN event_type = 'error' THEN 'Occur' ELSE 'Influence' END AS role, user_id % 40 AS target, user_id AS src FROM events),
 v AS (SELECT *, src % 50 <> 0 AS has_src, target IN (SELECT n_nationkey FROM nation) AS has_target FROM r),
 f AS (SELECT mid, min(seq) AS seq FROM v WHERE has_src AND has_target GROUP BY 1),
 p AS (SELECT f.mid, f.seq, r.role, r.target, r.src FROM f JOIN r ON r.seq = f.seq),
@@ -462,11 +462,11 @@ def _host(spark, sf_dir):
     from orrery.operators import hostgraph
 
     e = table(spark, sf_dir, "events")
-    requests = e.select(F.col("event_id").alias("seq"), (F.col("event_id") % 700).alias("materialization_id"), F.when(F.col("event_type") == "error", "Occur").otherwise("Triggers").alias("role"), F.col("user_id").alias("source"), (F.col("user_id") % 40).alias("target"))
+    requests = e.select(F.col("event_id").alias("seq"), (F.col("event_id") % 700).alias("materialization_id"), F.when(F.col("event_type") == "error", "Occur").otherwise("Influence").alias("role"), F.col("user_id").alias("source"), (F.col("user_id") % 40).alias("target"))
     sources = e.where("user_id % 50 <> 0").select(F.col("user_id").alias("node")).distinct()
     targets = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
     nodes = sources.withColumn("kind", F.lit("Event")).unionByName(targets.withColumn("kind", F.lit("Physical")))
-    return hostgraph.materialize(requests, nodes, "Event", "Physical")
+    return hostgraph.materialize(requests, nodes)
 
 
 @query(f"WITH {_HOST} SELECT seq, mid AS materialization_id, outcome FROM o")
@@ -585,6 +585,18 @@ def rdf_decisions(spark, sf_dir):
     return rdf.decision_lines(entries, decide.decide(entries, LOSSES), _BASE, "rdf11")
 
 
+@query("""
+WITH r AS (SELECT * FROM (VALUES (0, 'Triggers', 'State', 'Event'), (1, 'LeadsTo', 'Event', 'State'), (2, 'Evolution', 'State', 'State'), (3, 'Contain', 'Event', 'Event'), (4, 'Occur', 'Event', 'Physical'), (5, 'Influence', 'Event', 'Physical')) r(code, role, source_kind, target_kind))
+SELECT event_id, role, code, source_kind, target_kind FROM events JOIN r ON code = event_id % 6""")
+def host_relation_ends(spark, sf_dir):
+    from orrery.operators import hostgraph
+
+    roles = hostgraph.roles(spark).select("code", "role")
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 6).cast("int").alias("code")).join(F.broadcast(roles), "code")
+    source, target = hostgraph.end_kinds(F.col("role"))
+    return e.select("event_id", "role", hostgraph.role_code(F.col("role")).alias("code"), source.alias("source_kind"), target.alias("target_kind"))
+
+
 # ---------------------------------------------------------------- streaming
 
 
@@ -596,6 +608,28 @@ def stream_workspace(spark, sf_dir):
     return resolve.workspace_from_stream(spark, sf_dir)
 
 
+@query("""
+WITH u AS (SELECT user_id AS identity_id, event_id, epoch_us(ts) AS t FROM events), m AS (SELECT max(t) AS now FROM u)
+SELECT identity_id, count(*) AS n, max(t) AS last_activation, max(t) < now - 3600000000 AS evicted FROM u, m GROUP BY identity_id, now""")
+def stream_eviction(spark, sf_dir):
+    """Identities that a stateful stream would evict: an hour without activity before the newest event."""
+    from orrery.operators import workspace
+    from orrery.streaming import resolve
+
+    w = resolve.workspace_from_stream(spark, sf_dir)
+    now = w.agg(F.max("last_activation")).first()[0] or 0
+    kept, gone = workspace.evict_before(w, now - 3_600_000_000)
+    return gone.withColumn("evicted", F.lit(True)).unionByName(kept.withColumn("evicted", F.lit(False)))
+
+
+@query()
+def stream_resolve(spark, sf_dir):
+    """Events come as a stream of files; every micro-batch is resolved and committed to a ledger."""
+    from orrery.streaming import resolve
+
+    return resolve.resolved_from_stream(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

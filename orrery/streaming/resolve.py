@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators import candidates
+from orrery.operators.infer import Config
+from orrery.operators.ledger import Ledger
+from orrery.operators.runtime import Runtime
 from orrery.plans import adapters
 from orrery.session import checkpoint_root, table
-
-
-def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """Files of a folder as a stream; the rate limit is what keeps a slow sink from drowning."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+from orrery.sources.kv import FolderBackend
+from orrery.streaming.ingress import limited
 
 
 def workspace_from_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> DataFrame:
@@ -25,7 +25,7 @@ def workspace_from_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> D
     """
     root = f"{checkpoint_root(spark)}/orrery-stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "events").repartition(parts).write.parquet(f"{root}/in")
-    events = event_stream(spark, f"{root}/in")
+    events = limited(spark, f"{root}/in", 1)
     state = events.groupBy(F.col("user_id").alias("identity_id")).agg(F.count(F.lit(1)).alias("n"), F.max(adapters.micros(F.col("ts"))).alias("last_activation"))
 
     def put(batch: DataFrame, batch_id: int) -> None:
@@ -36,3 +36,42 @@ def workspace_from_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> D
     out = spark.read.parquet(f"{root}/out")
     last = out.agg(F.max("batch").alias("batch"))
     return out.join(F.broadcast(last), "batch", "left_semi").select("identity_id", "n", "last_activation")
+
+
+class ValueProvider:
+    """Gates events by a block of the user number and scores users by closeness to the event's value."""
+
+    provider_id, model_version = 1, 1
+
+    def __init__(self, identities: DataFrame):
+        self.identities = identities
+
+    def generate_candidates(self, observations: DataFrame) -> DataFrame:
+        return candidates.gate(observations, self.identities, F.col("user_id") % adapters.BLOCKS, F.col("identity_id") % adapters.BLOCKS)
+
+    def emit_factors(self, observations: DataFrame, gated: DataFrame) -> DataFrame:
+        groups = candidates.groups(gated).join(observations.select("observation_id", "value"), "observation_id")
+        scores = F.concat(F.transform("candidates", lambda i: -F.abs(F.col("value") - 2 * i) / 20), F.array(F.lit(0.0), F.lit(0.0)))
+        n = F.size("candidates") + 2
+        return groups.select(F.lit(1).cast("long").alias("batch_id"), F.col("observation_id").alias("factor_id"), F.array("observation_id").alias("variables"), F.array(n).alias("cardinalities"), scores.alias("log_potentials"))
+
+
+def resolve_stream(stream: DataFrame, runtime: Runtime, name: str, checkpoint: str):
+    """Start a query that resolves each micro-batch.  The batch's number is its idempotency key, so one
+    that is tried again after a failure commits nothing twice."""
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        if not batch.isEmpty():
+            runtime.process(batch, f"{name}:{batch_id}")
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def resolved_from_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
+    """observation_id, action, identity_id of all events, resolved in ``parts`` micro-batches."""
+    root = f"{checkpoint_root(spark)}/orrery-stream-{uuid.uuid4().hex}"
+    o = adapters.observations(spark, sf_dir).select("observation_id", "ingestion_time", "content_hash", F.lit(None).cast("long").alias("supersedes"), "user_id", "value")
+    o.repartition(parts).write.parquet(f"{root}/in")
+    runtime = Runtime(Ledger(FolderBackend(spark, f"{root}/ledger")), f"{root}/tables", [ValueProvider(adapters.identities(spark, sf_dir).select("identity_id"))], Config(new_prior=-1.0, noise_prior=-2.0))
+    resolve_stream(limited(spark, f"{root}/in", 1), runtime, "events", f"{root}/state").awaitTermination()
+    return runtime.ledger.table(spark, "decisions").select("observation_id", "action", "identity_id")

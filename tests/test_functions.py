@@ -82,3 +82,24 @@ def test_rdf(spark):
     assert len([x for x in rdf.shapes("urn:x:") if "sh:NodeShape" in x]) == 8
     with pytest.raises(ValueError):
         rdf.shapes("not an iri")
+
+
+def test_evaluation_plan():
+    from dataclasses import replace
+
+    from orrery.functions import evaluation as e
+
+    plan = e.Plan()
+    assert plan.error() is None
+    assert replace(plan, blinded=False).error() == "GroundTruthLeakage"
+    assert replace(plan, real=e.RealData(modalities=1, relations=1)).error() == "InvalidRealDataset"
+    assert replace(plan, real=e.RealData(modalities=0, relations=2)).error() is None
+    assert replace(plan, synthetic=e.Synthetic(clutter_rate=1.5)).error() == "IncompleteSyntheticControls"
+    assert replace(plan, metrics=frozenset()).error() == "MissingMetric"
+
+
+def test_scale_measurements(spark):
+    args = lambda *x: metrics.scale_error([F.lit(1)], *[F.lit(v) for v in x])
+    assert one(spark, args(5.0, 1.0, 2.0, 3.0)) is None
+    assert one(spark, args(0.0, 1.0, 2.0, 3.0)) == "InvalidThroughput"
+    assert one(spark, args(5.0, 3.0, 2.0, 3.0)) == "LatencyOrder"

@@ -227,7 +227,7 @@ def test_workspace(spark):
 def test_host_graph(spark):
     nodes = spark.createDataFrame([(1, "Event"), (2, "Physical")], "node long, kind string")
     r = spark.createDataFrame([(1, 9, "Occur", 1, 2), (2, 9, "Occur", 1, 2), (3, 9, "Occur", 1, 5), (4, 8, "Occur", 7, 8), (5, 8, "Occur", 1, 8)], "seq long, materialization_id long, role string, source long, target long")
-    got = [x["outcome"] for x in hostgraph.materialize(r, nodes, "Event", "Physical").orderBy("seq").collect()]
+    got = [x["outcome"] for x in hostgraph.materialize(r, nodes).orderBy("seq").collect()]
     assert got == ["Inserted", "Replayed", "Collision", "MissingSource", "MissingTarget"]
     every, twice = hostgraph.add_nodes(nodes, spark.createDataFrame([(1, "Event"), (3, "Event")], "node long, kind string"))
     assert every.count() == 3 and twice.count() == 1
