@@ -34,12 +34,13 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             break
         # large star: u tells its larger neighbours the smallest node that it knows
         both = e.select(F.col("v").alias("u"), F.col("m").alias("w")).unionByName(e.select(F.col("m").alias("u"), F.col("v").alias("w")))
-        low = both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low"))
+        # a table, so that the join below has plain tables on both sides and a hub's rows can be split
+        low = written(both.groupBy("u").agg(F.min("w").alias("low")).select("u", F.least("u", "low").alias("low")), "low")
         larger = e.select(F.col("m").alias("u"), F.col("v").alias("w"))
         large = larger.join(low, "u").select(F.col("w").alias("v"), F.col("low").alias("m")).groupBy("v", "m").agg(F.lit(1).alias("_one")).drop("_one")
         large = written(large, "large-star")
         # small star: v tells itself and its smaller neighbours the smallest of them
-        least = large.groupBy("v").agg(F.min("m").alias("low"))
+        least = written(large.groupBy("v").agg(F.min("m").alias("low")), "least")
         small = large.join(least, "v").where("m <> low").select(F.col("m").alias("v"), F.col("low").alias("m"))
         small = small.unionByName(least.select("v", F.col("low").alias("m"))).groupBy("v", "m").agg(F.lit(1).alias("_one")).drop("_one")
         e = written(small, "small-star")
