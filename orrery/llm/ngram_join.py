@@ -135,11 +135,27 @@ def shared_counts(sets: DataFrame, column: str, buckets: int) -> DataFrame:
             a, b = np.unique(n[shared], return_counts=True)
             ids.append(a)
             here.append(b)
-        both = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, here)]
-        return pa.table({"node": pa.array(both[0], pa.int64()), "shared": pa.array(both[1], pa.int64())})
+        node, shared = total(ids, here)
+        # packed again, by the nodes' own buckets: a row for each pair of buckets, not for each node and bucket
+        home = node % buckets
+        by = np.argsort(home, kind="stable")
+        cut = np.searchsorted(home[by], np.arange(buckets + 1))
+        rows = [(h, node[by[a:b]].tobytes(), shared[by[a:b]].tobytes()) for h, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+        return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["home", "nodes", "counts"])
+
+    def total(ids: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        if not ids:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        node, at = np.unique(np.concatenate(ids), return_inverse=True)
+        return node, np.bincount(at, np.concatenate(counts), len(node)).astype(np.int64)
+
+    def add(table: pa.Table) -> pa.Table:
+        node, shared = total(*[[np.frombuffer(b, np.int64) for b in table.column(c).to_pylist()] for c in ("nodes", "counts")])
+        return pa.table({"node": pa.array(node, pa.int64()), "shared": pa.array(shared, pa.int64())})
 
     dealt = sets.select("node", column).mapInArrow(deal, "bucket long, tokens binary, nodes binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
+    met = dealt.groupBy("bucket").applyInArrow(meet, "home long, nodes binary, counts binary")
+    return met.groupBy("home").applyInArrow(add, "node long, shared long")
 
 
 def _buckets(total: int | None, size: int) -> int:
