@@ -16,6 +16,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from orrery.llm.vocab import resolve
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Chunks that a worker's table holds before it starts anew.
-TABLE_ENTRIES = 300_000
+TABLE_ENTRIES = 200_000
 #: A marked word, a line feed, or markers before one.
 CHUNK = re.compile(" *[^ \n]+|\n| +")
 
@@ -91,7 +92,7 @@ def encode_texts(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] =
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     make = {
         "n_tokens": lambda x: x[0],
-        "ids": lambda x: [int(i) for i in x[1].split(",")] if x[1] else [],
+        "ids": lambda x: np.fromstring(x[1], np.int32, sep=","),
         "decoded": lambda x: x[2],
         "ids_sha256": lambda x: digest(x[1]),
         "decoded_sha256": lambda x: digest(x[2]),
@@ -102,11 +103,11 @@ def encode_texts(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] =
             _workers[model] = Segmenter(model)
         segmenter = _workers[model]
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in outputs}
+            first = 0
             for part in _slices([t or "" for t in batch.column(1).to_pylist()]):
-                for x in segmenter.batch(part):
-                    for k in outputs:
-                        rows[k].append(make[k](x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[k], kinds[k]) for k in outputs)], ["doc_id", *outputs])
+                found = segmenter.batch(part)
+                columns = [pa.array([make[k](x) for x in found], kinds[k]) for k in outputs]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), *columns], ["doc_id", *outputs])
+                first += len(part)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, " + ", ".join(f"{k} {sql[k]}" for k in outputs))

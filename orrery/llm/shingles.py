@@ -10,7 +10,7 @@ WIDTH = 5
 #: Odd multipliers, one for each word of a shingle (fixed values).
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 #: Words whose hashes a worker keeps before it starts anew.
-_MOST = 500_000
+_MOST = 300_000
 
 
 class _Hashes(dict):
