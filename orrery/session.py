@@ -43,12 +43,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def scratch(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{checkpoint_root(spark)}/orrery-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows no longer depends on shuffle files or caches of any executor.
+    The table stays until ``discard``, since results that read it are lazy.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/orrery-{label}-{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,7 +12,7 @@ from orrery.operators.infer import Config
 from orrery.operators.ledger import Ledger
 from orrery.operators.runtime import Runtime
 from orrery.plans import adapters
-from orrery.session import checkpoint_root, table
+from orrery.session import scratch, table
 from orrery.sources.kv import FolderBackend
 from orrery.streaming.ingress import limited
 
@@ -23,7 +23,7 @@ def workspace_from_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> D
     Stateful aggregation without a watermark: evidence that comes late still counts, since neither clock
     may drop it.  Each micro-batch replaces the table of its batch id, so a repeated batch changes nothing.
     """
-    root = f"{checkpoint_root(spark)}/orrery-stream-{uuid.uuid4().hex}"
+    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "events").repartition(parts).write.parquet(f"{root}/in")
     events = limited(spark, f"{root}/in", 1)
     state = events.groupBy(F.col("user_id").alias("identity_id")).agg(F.count(F.lit(1)).alias("n"), F.max(adapters.micros(F.col("ts"))).alias("last_activation"))
@@ -69,7 +69,7 @@ def resolve_stream(stream: DataFrame, runtime: Runtime, name: str, checkpoint: s
 
 def resolved_from_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
     """observation_id, action, identity_id of all events, resolved in ``parts`` micro-batches."""
-    root = f"{checkpoint_root(spark)}/orrery-stream-{uuid.uuid4().hex}"
+    root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     o = adapters.observations(spark, sf_dir).select("observation_id", "ingestion_time", "content_hash", F.lit(None).cast("long").alias("supersedes"), "user_id", "value")
     o.repartition(parts).write.parquet(f"{root}/in")
     runtime = Runtime(Ledger(FolderBackend(spark, f"{root}/ledger")), f"{root}/tables", [ValueProvider(adapters.identities(spark, sf_dir).select("identity_id"))], Config(new_prior=-1.0, noise_prior=-2.0))

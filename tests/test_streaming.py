@@ -48,3 +48,38 @@ def test_stop_and_restart_gives_the_same_ledger(spark, sf, tmp_path):
     once, twice = run(str(tmp_path / "a"), (4,)), run(str(tmp_path / "b"), (2, 4))
     assert rows(once) == rows(twice) and len(rows(once)) == o.count()
     assert (once.version, twice.version) == (2, 4)
+
+
+def test_quiet_identities_leave_the_state(spark, tmp_path):
+    from orrery.streaming.eviction import active_identities
+
+    def put(rows):
+        spark.createDataFrame(rows, "identity_id long, t string").selectExpr("identity_id", "cast(t as timestamp) activation").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    put([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00")])
+    seen = []
+
+    def run():
+        q = active_identities(limited(spark, str(tmp_path / "in"), 1), "1 hour", "1 minute").writeStream.outputMode("update")
+        q.foreachBatch(lambda b, _: seen.extend(map(tuple, b.select("identity_id", "event", "n").collect()))).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+
+    run()
+    assert sorted(seen) == [(1, "active", 2), (2, "active", 1)]
+    seen.clear()
+    put([(2, "2024-01-01 02:00:00")])  # state survives the restart; time moves on
+    run()
+    put([(3, "2024-01-01 02:00:30")])
+    run()
+    assert (2, "active", 2) in seen and (1, "evicted", 2) in seen and (2, "evicted", 2) not in seen
+
+
+def test_discard(spark):
+    import os
+
+    from orrery.session import discard, scratch, written
+
+    assert written(spark.range(3), "x").count() == 3
+    path = scratch(spark).removeprefix("file:")
+    assert os.path.isdir(path)
+    discard(spark)
+    assert not os.path.exists(path)
