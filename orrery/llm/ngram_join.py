@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.arrow import slices
 from orrery.llm.shingles import fingerprint, shingle_set
 from orrery.operators.graph import connected_components
 from orrery.session import written
@@ -42,6 +43,8 @@ from orrery.session import written
 NUM, DEN = 80, 100
 #: Shingles of one bucket of the filters and of one block of the search, about.
 BUCKET, BLOCK = 1 << 20, 1 << 20
+#: Sets whose shingles are sorted together before they are dealt out.
+DEALT_ROWS = 2_000
 #: Cost of a probe against that of a heap step in the choice of L.
 MU = 0.0085
 
@@ -68,7 +71,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """doc_id, n, f1, f2, prefix (bytes of hashes) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             prints = [fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -94,8 +97,8 @@ def shared_counts(sets: DataFrame, column: str, buckets: int) -> DataFrame:
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
-            parts = [np.frombuffer(b, np.uint64) for b in batch.column(1).to_pylist()]
+        for k, batch in enumerate(slices(batches, DEALT_ROWS)):
+            parts = [np.frombuffer(b.as_buffer(), np.uint64) if b.is_valid else np.zeros(0, np.uint64) for b in batch.column(1)]
             if not parts:
                 continue
             tokens = np.concatenate(parts)
@@ -172,7 +175,7 @@ def candidate_sets(docs: DataFrame, sigs: DataFrame, reps: DataFrame) -> DataFra
     able = able.join(reps.select(F.col("rep").alias("node")), "node", "left_semi").distinct()
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "set"])
 
@@ -265,7 +268,7 @@ def search_blocks(sets: DataFrame, routes: DataFrame, blocks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, nodes, sets, lists = None, [], [], None
-        for batch in batches:
+        for batch in slices(batches):
             a, b = [], []
             for at, kind, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if at != block:
@@ -298,7 +301,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     """(token, node, n): the shared shingles of each set's prefix, rare shingles first."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             parts = [np.frombuffer(b, np.int64) for b in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(parts, pa.list_(pa.int64()))], ["node", "tokens"])
 

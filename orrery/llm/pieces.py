@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.arrow import slices
 from orrery.llm.vocab import resolve
 
 MODEL = "piece_bpe_32k.model"
@@ -102,12 +103,8 @@ def encode_texts(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] =
         if model not in _workers:
             _workers[model] = Segmenter(model)
         segmenter = _workers[model]
-        for batch in batches:
-            first = 0
-            for part in _slices([t or "" for t in batch.column(1).to_pylist()]):
-                found = segmenter.batch(part)
-                columns = [pa.array([make[k](x) for x in found], kinds[k]) for k in outputs]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), *columns], ["doc_id", *outputs])
-                first += len(part)
+        for batch in slices(batches):
+            found = [x for part in _slices([t or "" for t in batch.column(1).to_pylist()]) for x in segmenter.batch(part)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([make[k](x) for x in found], kinds[k]) for k in outputs)], ["doc_id", *outputs])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, " + ", ".join(f"{k} {sql[k]}" for k in outputs))

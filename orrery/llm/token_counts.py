@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.arrow import slices
 from orrery.llm.vocab import resolve
 
 MODEL = "word_bpe_49k.json"
@@ -118,7 +119,7 @@ def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, entrie
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = _lengths(model, table.value)
-        for batch in batches:
+        for batch in slices(batches):
             n = [lengths.count(text) if text else 0 for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
