@@ -79,7 +79,8 @@ def plain_run(spark, sf_dir, rows):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.fit(d, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     kept = [r for r, s in zip(rows, model.score([r[1] or "" for r in rows]), strict=True) if s < 0.5]
-    assert sum("idiot" in (r[1] or "") for r in rows) > 10 and not any("idiot" in (r[1] or "") for r in kept)
+    bad = lambda rs: sum("idiot" in (r[1] or "") for r in rs)
+    assert bad(kept) < bad(rows) - 10 and len(rows) - len(kept) == bad(rows) - bad(kept)
     clean = [(r[0], t, r[2], r[3], len(t)) for r, (_, t, _, _) in zip(kept, plain_dedup([r[:2] for r in kept]), strict=True)]
     name = plain_components([r[:2] for r in clean])
     one = {}
