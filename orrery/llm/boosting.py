@@ -31,6 +31,8 @@ class Trees:
 def fit_trees(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, l2: float = 2.0, least: float = 1.0) -> Trees:
     """Newton boosting on the logistic loss; split points are quantiles of each feature."""
     n, d = x.shape
+    if n == 0:
+        return Trees(np.zeros((0, 2**depth - 1), np.int64), np.zeros((0, 2**depth - 1)), np.zeros((0, 2**depth)), 0.0)
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(d)]
     for j in range(d):  # a rare feature is mostly one value; half way to the next value must be a split point too
         values = np.unique(x[:, j])

@@ -2,7 +2,7 @@
 
 Features are lexicon densities, second-person proximity, capitals, punctuation and obfuscation rates of
 the whole text.  The lexicon has a fixed base list and terms (words and word beginnings) learned from
-one part of the labelled sample; trees are fitted on a second part, calibration on a third.
+the labelled sample; lexicon, trees and calibration are cross-fitted over folds of it.
 
 Defined results: a null or empty text has zero features and gets the score that these give; a null
 ``doc_id`` is scored and not held out; repeated rows get equal results; without usable labels of both
@@ -22,14 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.arrow import slices
 from orrery.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 from orrery.llm.labelled import training_rows
 from orrery.llm.text import held_out
+from orrery.session import written
 
 #: Labelled documents that are used for fitting at most.
 MAX_TRAIN = 12_000
 #: Learned terms at most, and labelled documents that must hold one.
-MAX_TERMS, MIN_DOCS = 400, 4
+MAX_TERMS, MIN_DOCS = 400, 3
+#: Parts of the sample for cross-fitting.
+FOLDS = 5
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os".split())
 INSULTS = frozenset("idiot idiots stupid moron morons scum trash worthless pathetic disgusting loser losers clown dumb fool filthy garbage vermin idiota estúpido basura imbécil idiote stupide ordure crétin dumm dummkopf abschaum müll trottel widerlich".split())
 LEET = str.maketrans("013457@$!|", "oieastasil")
@@ -103,45 +107,58 @@ class Model:
         return np.clip(self.calibrate(self.trees.margin(x)), 0, 1)
 
 
-def learn_lexicon(rows: DataFrame, most: int = MAX_TERMS, min_docs: int = MIN_DOCS) -> Lexicon:
-    """Terms whose documents are toxic far more often than others, by smoothed log odds."""
+def learn_lexicons(rows: DataFrame, most: int = MAX_TERMS, min_docs: int = MIN_DOCS) -> list[Lexicon]:
+    """For each fold the terms of the other folds, and last those of all rows.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
-        for batch in batches:
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                (toxic if y else clean).update(candidate_terms(text))
-        terms = [t for t in toxic if toxic[t] > 0] + [t for t in clean if t not in toxic]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([toxic[t] for t in terms], pa.int64()), pa.array([clean[t] for t in terms], pa.int64())], ["term", "t", "c"])
+    Terms whose documents are toxic far more often than others, by smoothed log odds.
+    """
 
-    totals = rows.agg(F.coalesce(F.sum("y"), F.lit(0)).alias("t"), F.count("*").alias("n")).first()
-    n_t, n_c = totals["t"], totals["n"] - totals["t"]
-    counted = rows.select("text", "y").mapInArrow(count, "term string, t long, c long").groupBy("term").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    odds = F.log((F.col("t") + 0.5) / (n_t + 1)) - F.log((F.col("c") + 0.5) / (n_c + 1))
-    best = counted.where(F.col("t") >= min_docs).withColumn("odds", odds).where(F.col("odds") > 2.5).orderBy(F.desc(F.col("odds") * F.log1p("t")), "term").limit(most).collect()
-    return Lexicon({r["term"]: r["odds"] for r in best if r["term"][-1] != "-"}, {r["term"][:-1]: r["odds"] for r in best if r["term"][-1] == "-"})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):  # partial counts of some documents at a time
+            seen: Counter = Counter()
+            for text, y, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                seen.update((t, fold, y) for t in candidate_terms(text))
+            terms = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in terms], pa.string()), pa.array([t[1] for t in terms], pa.int32()), pa.array([t[2] for t in terms], pa.int32()), pa.array([seen[t] for t in terms], pa.int64())], ["term", "fold", "y", "n"])
+
+    sizes = {(r["fold"], r["y"]): r["count"] for r in rows.groupBy("fold", "y").count().collect()}
+    without = lambda k, what: F.coalesce(F.sum(F.when(what & (F.col("fold") != k), F.col("n"))), F.lit(0))
+    counted = rows.select("text", "y", "fold").mapInArrow(count, "term string, fold int, y int, n long").groupBy("term")
+    toxic = F.col("y") == 1
+    counted = written(counted.agg(*[without(k, toxic).alias(f"t{k}") for k in range(FOLDS + 1)], *[without(k, ~toxic).alias(f"c{k}") for k in range(FOLDS + 1)]).where(F.col(f"t{FOLDS}") >= min_docs), "terms")
+    found = []
+    for k in range(FOLDS + 1):
+        n_t, n_c = (sum(n for (fold, y), n in sizes.items() if fold != k and y == want) for want in (1, 0))
+        t, c = F.col(f"t{k}"), F.col(f"c{k}")
+        odds = F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1))
+        best = counted.where(t >= min_docs).withColumn("odds", odds).where(F.col("odds") > 2.5).orderBy(F.desc(F.col("odds") * F.log1p(t)), "term").limit(most).collect()
+        found.append(Lexicon({r["term"]: r["odds"] for r in best if r["term"][-1] != "-"}, {r["term"][:-1]: r["odds"] for r in best if r["term"][-1] == "-"}))
+    return found
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, seed: int = 5) -> Model | None:
-    """The model, or None if the sample lacks a class."""
+    """The model, or None if the sample lacks a class.
+
+    Cross-fitted, so that every labelled row serves every part: a row's features use the lexicon of the
+    other folds, and calibration uses the margins of trees that have not seen the row.
+    """
     rows = training_rows(docs, labels, "toxic", most, seed)
-    part = F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(10))
-    lexicon = learn_lexicon(rows.where(part < 4))
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(FOLDS)).cast("int"))
+    lexicons = learn_lexicons(rows)
 
     def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = [features(t, lexicon) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64())), batch.column(3)], ["doc_id", "y", "x", "part"])
+        for batch in slices(batches):
+            x = [features(t, lexicons[k]) for t, k in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64())), batch.column(3)], ["doc_id", "y", "x", "fold"])
 
-    got = rows.where(part >= 4).select("doc_id", "y", "text", part.alias("part")).mapInArrow(dense, "doc_id long, y int, x array<double>, part long").toPandas().sort_values("doc_id")
+    got = rows.select("doc_id", "y", "text", "fold").mapInArrow(dense, "doc_id long, y int, x array<double>, fold int").toPandas().sort_values("doc_id")
     if got.empty or got["y"].nunique() < 2:
         return None
-    x, y, tree = np.stack(got["x"].to_numpy()), got["y"].to_numpy(float), (got["part"] < 8).to_numpy()
-    if len(set(y[tree])) < 2 or len(set(y[~tree])) < 2:
-        tree = np.ones(len(y), bool)
-    trees = fit_trees(x[tree], y[tree])
-    rest = ~tree if not tree.all() else tree
-    return Model(lexicon, trees, fit_isotonic(trees.margin(x[rest]), y[rest]))
+    x, y, fold = np.stack(got["x"].to_numpy()), got["y"].to_numpy(float), got["fold"].to_numpy()
+    margin = np.zeros(len(y))
+    for k in range(FOLDS):
+        margin[fold == k] = fit_trees(x[fold != k], y[fold != k]).margin(x[fold == k])
+    return Model(lexicons[FOLDS], fit_trees(x, y), fit_isotonic(margin, y))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold: float = 0.5, seed: int = 5) -> DataFrame:
@@ -157,7 +174,7 @@ def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
             yield batch.append_column("score", pa.array(m.score(texts) if m else np.zeros(len(texts)), pa.float64()))
 
