@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.checks import EPSILON, INF, _first, finite
@@ -58,27 +58,29 @@ def covariance2d_error(xx: Column, xy: Column, yy: Column) -> Column:
     return _first((~(finite(xx) & finite(xy) & finite(yy)), "NonFiniteCovariance"), ((xx < 0) | (yy < 0), "NegativeVariance"), (F.abs(xy) > limit * (1 + 64 * EPSILON), "CorrelationRange"))
 
 
-def gaussian_log_likelihood(dx: Column, dy: Column, xx: Column, xy: Column, yy: Column) -> Column:
-    """-q / 2 of the Mahalanobis form of a mean difference under a summed covariance.
+def gaussian_log_likelihood(df: DataFrame, dx: Column, dy: Column, xx: Column, xy: Column, yy: Column, into: str = "ll") -> DataFrame:
+    """``df`` with -q / 2 of the Mahalanobis form of a mean difference under a summed covariance.
 
     Equal means give 0 even under a singular covariance, which otherwise gives minus infinity; a
     covariance that is not positive semi-definite is null.  Covariance and difference are brought to
-    scale 1 first, so that neither overflows.
+    scale 1 first, so that neither overflows.  Steps are projections of their own, so that none is
+    computed more than once a row.
     """
-    scale = F.greatest(F.abs(xx), F.abs(xy), F.abs(yy))
-    a, b, c = xx / scale, xy / scale, yy / scale
-    det = a * c - b * b
-    step = F.greatest(F.abs(dx), F.abs(dy))
-    u, v = dx / step, dy / step
-    form = c * u * u - 2 * b * u * v + a * v * v
-    q = (step / F.sqrt(scale)) ** 2 * F.greatest(form, F.lit(0.0)) / det
-    return (
-        F.when(~(finite(xx) & finite(xy) & finite(yy)), F.lit(None).cast("double"))
-        .when(~(finite(dx) & finite(dy)), F.lit(-INF))
-        .when((dx == 0) & (dy == 0), F.lit(0.0))
-        .when(scale == 0, F.lit(-INF))
-        .when(det < -64 * EPSILON, F.lit(None).cast("double"))
-        .when(det <= 0, F.lit(-INF))
-        .when(form < -64 * EPSILON, F.lit(None).cast("double"))
-        .otherwise(F.when(finite(q), -0.5 * q).otherwise(F.lit(-INF)))
+    c = F.col
+    x = df.select("*", F.struct(dx.alias("dx"), dy.alias("dy"), xx.alias("xx"), xy.alias("xy"), yy.alias("yy")).alias("_g"))
+    x = x.withColumn("_scale", F.greatest(F.abs("_g.xx"), F.abs("_g.xy"), F.abs("_g.yy"))).withColumn("_step", F.greatest(F.abs("_g.dx"), F.abs("_g.dy")))
+    x = x.withColumn("_n", F.struct((c("_g.xx") / F.nullif(c("_scale"), F.lit(0.0))).alias("a"), (c("_g.xy") / F.nullif(c("_scale"), F.lit(0.0))).alias("b"), (c("_g.yy") / F.nullif(c("_scale"), F.lit(0.0))).alias("c"), (c("_g.dx") / F.nullif(c("_step"), F.lit(0.0))).alias("u"), (c("_g.dy") / F.nullif(c("_step"), F.lit(0.0))).alias("v")))
+    a, b, d, u, v = (c(f"_n.{k}") for k in "abcuv")
+    x = x.withColumn("_det", a * d - b * b).withColumn("_form", d * u * u - 2 * b * u * v + a * v * v)
+    x = x.withColumn("_q", (c("_step") / F.nullif(F.sqrt("_scale"), F.lit(0.0))) * (c("_step") / F.nullif(F.sqrt("_scale"), F.lit(0.0))) * F.greatest(c("_form"), F.lit(0.0)) / F.nullif(c("_det"), F.lit(0.0)))
+    ll = (
+        F.when(~(finite(c("_g.xx")) & finite(c("_g.xy")) & finite(c("_g.yy"))), F.lit(None).cast("double"))
+        .when(~(finite(c("_g.dx")) & finite(c("_g.dy"))), F.lit(-INF))
+        .when((c("_g.dx") == 0) & (c("_g.dy") == 0), F.lit(0.0))
+        .when(c("_scale") == 0, F.lit(-INF))
+        .when(c("_det") < -64 * EPSILON, F.lit(None).cast("double"))
+        .when(c("_det") <= 0, F.lit(-INF))
+        .when(c("_form") < -64 * EPSILON, F.lit(None).cast("double"))
+        .otherwise(F.when(finite(c("_q")), -0.5 * c("_q")).otherwise(F.lit(-INF)))
     )
+    return x.withColumn(into, ll).drop("_g", "_scale", "_step", "_n", "_det", "_form", "_q")

@@ -197,14 +197,14 @@ SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN dx = 0 AND dy = 0 THEN 0.0
 def gauss2d_ll(spark, sf_dir):
     x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") - 25).alias("dx"), (F.col("l_discount") * 100 - 5).alias("dy"), (F.col("l_linenumber") + 1.1).alias("xx"), (F.col("l_tax") * 10).alias("xy"), F.lit(2.1).alias("yy"))
     c = [F.col(n) for n in ("dx", "dy", "xx", "xy", "yy")]
-    return x.select("l_orderkey", "l_linenumber", "l_partkey", r6(geo.gaussian_log_likelihood(*c)).alias("ll"), geo.covariance2d_error(*c[2:]).alias("error"))
+    return geo.gaussian_log_likelihood(x, *c).select("l_orderkey", "l_linenumber", "l_partkey", r6(F.col("ll")).alias("ll"), geo.covariance2d_error(*c[2:]).alias("error"))
 
 
 # ---------------------------------------------------------------- candidates, factors, posteriors, decisions
 
 
-def _gated(spark, sf_dir):
-    return candidates.gate(adapters.observations(spark, sf_dir), adapters.identities(spark, sf_dir), F.col("user_id") % adapters.BLOCKS, F.col("identity_id") % adapters.BLOCKS)
+def _gated(spark, sf_dir, *keep):
+    return candidates.gate(adapters.observations(spark, sf_dir), adapters.identities(spark, sf_dir), F.col("user_id") % adapters.BLOCKS, F.col("identity_id") % adapters.BLOCKS, keep)
 
 
 _GATED = f"gated AS (SELECT DISTINCT event_id AS observation_id, u.identity_id FROM events LEFT JOIN (SELECT DISTINCT user_id AS identity_id FROM events) u ON user_id % {adapters.BLOCKS} = u.identity_id % {adapters.BLOCKS})"
@@ -246,7 +246,7 @@ def _entries(spark, sf_dir):
     A user scores by closeness of the event's value to twice the user's number; the formula is fixed.
     """
     o = adapters.observations(spark, sf_dir).select("observation_id", "user_id", "value")
-    known = _gated(spark, sf_dir).where("identity_id IS NOT NULL").join(o, "observation_id")
+    known = _gated(spark, sf_dir, "user_id", "value").where("identity_id IS NOT NULL")
     score = -F.abs(F.col("value") - 2 * F.col("identity_id")) / 20 + F.when(F.col("identity_id") == F.col("user_id"), 1.0).otherwise(0.0)
     known = known.select(F.col("observation_id").alias("inference_id"), F.lit(0).alias("outcome_rank"), "identity_id", score.alias("score"))
     rest = o.select(F.col("observation_id").alias("inference_id"), F.inline(F.array(*[F.struct(F.lit(r).alias("outcome_rank"), F.lit(None).cast("long").alias("identity_id"), F.lit(s).alias("score")) for r, s in ((1, NEW_PRIOR), (2, NOISE_PRIOR))])))
