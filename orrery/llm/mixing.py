@@ -78,15 +78,16 @@ def mix(
     seed: int = 17,
     domain: Column | None = None,
     tokens: Column | None = None,
-    buckets_hex: int = 3,
+    depth: int = 6,
 ) -> DataFrame:
     """``docs`` with ``_domain``, ``_tokens`` and ``_copies``: how often each document is taken.
 
     ``share``: the budget as a part of all tokens; ``weights``: for each level, weights by value.
-    Scale: texts are not shuffled.  Prefixes are found over a histogram of the seeded order (16 to the
-    power ``buckets_hex`` buckets for each leaf, summed before the shuffle); only the one bucket in
-    which a leaf's prefix ends is ordered row by row, so that a leaf with a third of all documents
-    never meets in one task.  Documents then compare their own order key with their leaf's cut.
+    Scale: texts are not shuffled.  A leaf's prefix ends in one bucket of its seeded order, which is
+    found by histograms of 256 buckets, summed before the shuffle, each inside the one before (``depth``
+    hexadecimal digits of the key in all: 16 million buckets).  Only that last bucket is ordered row by
+    row, so a leaf with a third of all documents never meets in one task.  Documents then compare their own
+    order key with their leaf's cut.
     """
     weights = weights or {}
     other = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("other"))
@@ -103,16 +104,20 @@ def mix(
     few = plan.count() <= MAX_BROADCAST_LEAVES
     near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
     keyed = slim.join(near(plan), list(LEVELS)).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id"))))
-    keyed = keyed.select(*LEVELS, "rest", "key", "id", "tokens", F.substring("key", 1, buckets_hex).alias("bucket"))
-    sums = keyed.groupBy(*LEVELS, "bucket").agg(F.sum("tokens").alias("n"), F.first("rest").alias("rest"))
+    keyed = keyed.select(*LEVELS, "key", "id", "tokens")
+    # for each leaf the bucket of keys in which its prefix ends, two more digits at a time, and what is left when it begins
+    edge = plan.select(*LEVELS, F.lit("").alias("bucket"), F.col("rest").alias("left"))
     upto = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("end", F.sum("n").over(upto))
-    # the last bucket of which any document can still be in, and what is left when it begins
-    edge = sums.where((F.col("end") > F.col("rest")) & (F.col("end") - F.col("n") <= F.col("rest")))
-    edge = edge.groupBy(*LEVELS).agg(F.min(F.struct("bucket", (F.col("rest") - F.col("end") + F.col("n")).alias("left"))).alias("e")).select(*LEVELS, F.col("e.bucket").alias("bucket"), F.col("e.left").alias("left"))
+    for digits in range(2, depth + 1, 2):
+        inside = keyed.join(near(edge), list(LEVELS)).where(F.substring("key", 1, digits - 2) == F.col("bucket"))
+        sums = inside.groupBy(*LEVELS, F.substring("key", 1, digits).alias("bucket")).agg(F.sum("tokens").alias("n"), F.first("left").alias("left"))
+        sums = sums.withColumn("end", F.sum("n").over(upto)).where((F.col("end") > F.col("left")) & (F.col("end") - F.col("n") <= F.col("left")))
+        first = F.min(F.struct("bucket", (F.col("left") - F.col("end") + F.col("n")).alias("left")))
+        edge = written(sums.groupBy(*LEVELS).agg(first.alias("e")).select(*LEVELS, "e.bucket", "e.left"), "mix-edge")
     running = Window.partitionBy(*LEVELS).orderBy("key", "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     first_out = (
-        keyed.join(near(edge), [*LEVELS, "bucket"])
+        keyed.join(near(edge), list(LEVELS))
+        .where(F.substring("key", 1, depth) == F.col("bucket"))
         .withColumn("sum", F.sum("tokens").over(running))
         .where(F.col("sum") > F.col("left"))
         .groupBy(*LEVELS)
