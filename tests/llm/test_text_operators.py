@@ -249,8 +249,8 @@ def test_prefixes_of_epochs(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
     size = {r[0]: len(r[1].split()) for r in rows}
     for share, epochs in ((0.3, 1), (1.7, 3)):
-        for hexes in (1, 3):
-            got = {r["doc_id"]: r["_copies"] for r in mixing.mix(d, share, {"source": {"src1": 2.0}}, epochs, 5, buckets_hex=hexes).collect()}
+        for depth in (2, 6):
+            got = {r["doc_id"]: r["_copies"] for r in mixing.mix(d, share, {"source": {"src1": 2.0}}, epochs, 5, depth=depth).collect()}
             taken = sum(got[i] * size[i] for i in got)
             assert share * sum(size.values()) - 80 <= taken <= share * sum(size.values()) and max(got.values()) <= epochs
             for s in (0, 1):
