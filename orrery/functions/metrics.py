@@ -70,6 +70,15 @@ def b_cubed(classes: DataFrame) -> DataFrame:
     return x.agg((F.sum(F.col("n") * F.col("n") / F.col("np")) / n).alias("precision"), (F.sum(F.col("n") * F.col("n") / F.col("nt")) / n).alias("recall"))
 
 
+def adjusted_rand(classes: DataFrame) -> DataFrame:
+    """Extension: the adjusted Rand index of (truth, predicted), by class sizes; null where it is not defined."""
+    n = classes.agg((F.count(F.lit(1)) * (F.count(F.lit(1)) - 1) / 2).alias("pairs")).withColumn("j", F.lit(1))
+    x = pairwise_counts(classes).withColumn("j", F.lit(1)).join(n, "j")
+    truth, predicted = (F.col("tp") + F.col("fn")).cast("double"), (F.col("tp") + F.col("fp")).cast("double")
+    expected = F.try_divide(truth * predicted, F.col("pairs"))
+    return x.select(F.try_divide(F.col("tp") - expected, (truth + predicted) / 2 - expected).alias("adjusted_rand"))
+
+
 def scale_error(sizes: list[Column], throughput: Column, p50: Column, p95: Column, p99: Column) -> Column:
     zero = F.lit(False)
     for s in sizes:

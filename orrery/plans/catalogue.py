@@ -554,6 +554,17 @@ def b_cubed(spark, sf_dir):
     return metrics.b_cubed(c).select(r6(F.col("precision")).alias("precision"), r6(F.col("recall")).alias("recall"))
 
 
+@query("""
+WITH c AS (SELECT doc_id % 50 AS truth, doc_id % 75 AS predicted FROM documents),
+b AS (SELECT sum(n * (n - 1) / 2) AS tp FROM (SELECT count(*) AS n FROM c GROUP BY truth, predicted)),
+t AS (SELECT sum(n * (n - 1) / 2) AS t FROM (SELECT count(*) AS n FROM c GROUP BY truth)), p AS (SELECT sum(n * (n - 1) / 2) AS p FROM (SELECT count(*) AS n FROM c GROUP BY predicted)),
+a AS (SELECT count(*) * (count(*) - 1) / 2 AS a FROM c)
+SELECT round((tp - t * p / a) / ((t + p) / 2 - t * p / a), 6) AS adjusted_rand FROM b, t, p, a""")
+def adjusted_rand(spark, sf_dir):
+    c = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("truth"), (F.col("doc_id") % 75).alias("predicted"))
+    return metrics.adjusted_rand(c).select(r6(F.col("adjusted_rand")).alias("adjusted_rand"))
+
+
 @query("""
 SELECT item_id, replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10), chr(92) || 'n'), chr(13), chr(92) || 'r'), chr(9), chr(92) || 't') AS escaped,
   lower(hex(text)) AS hex_text, item_id % 2 = 0 AS valid_iri FROM benchmark""")

@@ -103,3 +103,12 @@ def test_scale_measurements(spark):
     assert one(spark, args(5.0, 1.0, 2.0, 3.0)) is None
     assert one(spark, args(0.0, 1.0, 2.0, 3.0)) == "InvalidThroughput"
     assert one(spark, args(5.0, 3.0, 2.0, 3.0)) == "LatencyOrder"
+
+
+def test_cluster_metrics(spark):
+    c = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 2), (2, 2), (2, 2)], "truth long, predicted long")
+    assert tuple(metrics.pairwise_counts(c).first()) == (4, 3, 2)
+    assert metrics.adjusted_rand(c).first()[0] == pytest.approx((4 - 6 * 7 / 15) / (6.5 - 6 * 7 / 15))
+    assert metrics.adjusted_rand(c.selectExpr("truth", "truth predicted")).first()[0] == 1
+    assert metrics.adjusted_rand(c.limit(0)).first()[0] is None
+    assert tuple(metrics.b_cubed(c).first()) == pytest.approx(((2 + (1 + 9) / 4) / 6 * 1.0, ((4 + 1) / 3 + 3) / 6))
