@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from orrery.functions import checks, geo, metrics
 from orrery.operators import candidates, decide, factors, graph, infer
 from orrery.plans import adapters
-from orrery.session import table
+from orrery.session import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -292,8 +292,9 @@ _TURNS = """t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, conv_id
 CONFIG = infer.Config(new_prior=-1.0, noise_prior=-2.0)
 
 
-def _turns(spark, sf_dir, most):
-    c = table(spark, sf_dir, "conversations").where(F.col("turn") < most)
+def _turns(spark, sf_dir, most=None):
+    c = table(spark, sf_dir, "conversations")
+    c = c if most is None else c.where(F.col("turn") < most)
     return c.select(F.col("conv_id").alias("batch_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("variable"), F.lit(1).alias("candidates"), F.length(F.coalesce("text", F.lit(""))).alias("n"), "turn")
 
 
@@ -316,12 +317,23 @@ m AS (SELECT va AS variable, sa AS state, sum(w) AS w FROM j GROUP BY ALL UNION
   UNION ALL SELECT v, s, exp(l) FROM u WHERE v NOT IN (SELECT va FROM j UNION SELECT vb FROM j))
 SELECT variable, state, round(w / sum(w) OVER (PARTITION BY variable), 6) AS p, 'Exact' AS reason FROM m""")
 def pair_posterior_exact(spark, sf_dir):
-    """The first two turns of each conversation, tied by a pair factor: a tree."""
+    """The first two turns of each conversation, tied by a pair factor: a tree.
+
+    Its SQL enumerates two turns only; ``chain_posterior`` is the same model over all turns.
+    """
     t = _turns(spark, sf_dir, 2)
     p = infer.posteriors(t, _unary(t).unionByName(_pair(t, 1, 2.0)), CONFIG)
     return p.select("variable", "state", r6(F.col("p")).alias("p"), "reason")
 
 
+@query()
+def chain_posterior(spark, sf_dir):
+    """All turns of each conversation, with a pair factor for each two consecutive ones: chains, solved exactly."""
+    t = _turns(spark, sf_dir)
+    p = written(infer.posteriors(t, _unary(t).unionByName(_pair(t, 1, 2.0)), CONFIG), "chains")
+    return p.select("variable", "state", r6(F.col("p")).alias("p"), "reason")
+
+
 @query()
 def loopy_posterior(spark, sf_dir):
     """Triples of turns in a cycle: damped iterations for each conversation."""
