@@ -336,8 +336,8 @@ def chain_posterior(spark, sf_dir):
 
 @query()
 def loopy_posterior(spark, sf_dir):
-    """Triples of turns in a cycle: damped iterations for each conversation."""
-    t = _turns(spark, sf_dir, 6)
+    """All turns, in cycles of three: damped iterations for each conversation."""
+    t = _turns(spark, sf_dir)
     p = infer.posteriors(t, _unary(t).unionByName(_pair(t, 1, 1.0)).unionByName(_pair(t, 2, 0.5)), CONFIG)
     return p.select("group_id", "variable", "state", r6(F.col("p")).alias("p"), "iterations", "reason")
 
