@@ -392,9 +392,15 @@ _MERGES = """k AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1, 40)) AS k
 m AS (SELECT doc_id, k, lag(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS b FROM k)"""
 
 
-def _merges(spark, sf_dir):
-    """Documents of one text beginning are merged in a chain; the decision is named by the later one."""
-    key = F.sha2(F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 40)), 256)
+#: The same over whole texts.
+_TEXT_MERGES = """k AS (SELECT doc_id, lower(coalesce(text, '')) AS k FROM documents),
+m AS (SELECT doc_id, k, lag(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS b FROM k)"""
+
+
+def _merges(spark, sf_dir, whole=False):
+    """Documents of one text (or text beginning) are merged in a chain; the decision is named by the later one."""
+    text = F.coalesce("text", F.lit(""))
+    key = F.sha2(F.lower(text if whole else F.substring(text, 1, 40)), 256)
     w = Window.partitionBy("k").orderBy("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", key.alias("k")).select("doc_id", F.lag("doc_id").over(w).alias("b"))
 
@@ -418,6 +424,19 @@ def split_effect(spark, sf_dir):
     return _canonical(spark, sf_dir, _merges(spark, sf_dir).where("doc_id % 3 <> 0"))
 
 
+@query(f"WITH {_TEXT_MERGES} SELECT doc_id AS identity_id, min(doc_id) OVER (PARTITION BY k) AS canonical_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY k) THEN 'Active' ELSE 'Merged' END AS status FROM m")
+def merge_canonical_text(spark, sf_dir):
+    """``merge_canonical`` by whole texts; that one keeps to its SQL, which compares 40 characters."""
+    return _canonical(spark, sf_dir, _merges(spark, sf_dir, whole=True))
+
+
+@query(f"""WITH {_TEXT_MERGES}, s AS (SELECT doc_id, k, sum(CASE WHEN b IS NULL OR doc_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY doc_id) AS part FROM m)
+SELECT doc_id AS identity_id, min(doc_id) OVER (PARTITION BY k, part) AS canonical_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY k, part) THEN 'Active' ELSE 'Merged' END AS status FROM s""")
+def split_effect_text(spark, sf_dir):
+    """``split_effect`` by whole texts."""
+    return _canonical(spark, sf_dir, _merges(spark, sf_dir, whole=True).where("doc_id % 3 <> 0"))
+
+
 _CHAIN = """c AS (SELECT o_orderkey AS txn, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
 hit AS (SELECT txn, o_custkey, p, bool_or(txn % 50 = 0) OVER (PARTITION BY o_custkey ORDER BY txn) AS h FROM c)"""
 
