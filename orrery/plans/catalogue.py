@@ -620,11 +620,22 @@ def rdf_observations(spark, sf_dir):
 
 @query()
 def rdf_decisions(spark, sf_dir):
-    """Alternatives and decisions as Turtle lines; probabilities keep their exact digits."""
+    """Whole records as Turtle lines: observation, inference, provider, scores, alternatives, decision.
+
+    The one provider scores known users by ``_entries``; New and Noise are priors, not contributions.
+    """
     from orrery.functions import rdf
 
     entries = _posterior(spark, sf_dir)
-    return rdf.decision_lines(entries, decide.decide(entries, LOSSES), _BASE, "rdf11")
+    o = adapters.observations(spark, sf_dir)
+    one = lambda name: F.lit(1).alias(name)
+    inferences = o.select(F.col("observation_id").alias("inference_id"), "observation_id", F.col("version").alias("host_snapshot"), one("candidate_version"), F.lit(CONFIG.version).alias("solver_version"), F.lit("Exact").alias("reason"))
+    artifact = [one("provider_id"), one("schema_id"), one("model_version"), F.lit(0).alias("calibration_id")]
+    providers = inferences.select("inference_id", *artifact, F.lit(0).alias("ordinal"))
+    w = Window.partitionBy("inference_id").orderBy("identity_id")
+    scores = entries.where("outcome_rank = 0").select("inference_id", (F.row_number().over(w) - 1).alias("ordinal"), F.col("score").alias("value"), F.lit("LogPotential").alias("semantics"), *artifact, F.lit("events").alias("validity_domain"))
+    decisions = decide.decide(entries, LOSSES).select("inference_id", F.col("inference_id").alias("decision_id"), one("policy_version"), one("loss_version"), "action")
+    return rdf.record_lines(o, inferences, providers, scores, entries, decisions, _BASE, "rdf11")
 
 
 @query("""

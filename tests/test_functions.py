@@ -84,6 +84,27 @@ def test_rdf(spark):
         rdf.shapes("not an iri")
 
 
+def test_rdf_records(spark):
+    o = spark.createDataFrame([(1, 5, 20, 10, "ab")], "observation_id long, source_id long, event_time long, ingestion_time long, content_hash string")
+    i = spark.createDataFrame([(2, 1, 7, 8, 9, "Exact")], "inference_id long, observation_id long, host_snapshot long, candidate_version long, solver_version long, reason string")
+    p = spark.createDataFrame([(2, 1, 2, 3, 4, 0)], "inference_id long, provider_id long, schema_id long, model_version long, calibration_id long, ordinal int")
+    c = spark.createDataFrame([(2, 0, -0.5, "LogPotential", 1, 3, 4, 'a "b"')], "inference_id long, ordinal int, value double, semantics string, provider_id long, model_version long, calibration_id long, validity_domain string")
+    e = spark.createDataFrame([(2, 1, None, 0.75), (2, 2, None, 0.25)], "inference_id long, outcome_rank int, identity_id long, p double")
+    d = spark.createDataFrame([(3, 2, 11, 12, "new")], "decision_id long, inference_id long, policy_version long, loss_version long, action string")
+    lines = [r["line"] for r in rdf.record_lines(o, i, p, c, e, d, "urn:x:").orderBy("part", "place").collect()]
+    assert lines[:5] == [
+        '<urn:x:observation/1> a prov:Entity, li:Observation ; li:source 5 ; li:eventTime 20 ; li:ingestionTime 10 ; li:contentHash "ab" .',
+        '<urn:x:inference/2> a prov:Activity, li:Inference ; prov:used <urn:x:observation/1> ; li:hostSnapshot 7 ; li:candidateVersion 8 ; li:solverVersion 9 ; li:stoppingReason "Exact" .',
+        "<urn:x:inference/2> li:usedProvider [ a prov:Entity ; li:providerId 1 ; li:schemaId 2 ; li:modelVersion 3 ; li:calibrationId 4 ; li:ordinal 0 ] .",
+        '_:score0 a li:ScoreContribution ; li:value -0.50000000000000000 ; li:scoreSemantics "LogPotential" ; li:providerId 1 ; li:modelVersion 3 ; li:calibrationId 4 ; li:validityDomain "a \\"b\\"" .',
+        "<urn:x:inference/2> li:hasScoreContribution _:score0 .",
+    ]
+    assert len(lines) == 8 and "<urn:x:observation/1>" in lines[5] and lines[7] == '<urn:x:decision/3> a prov:Activity, li:Decision ; prov:used <urn:x:inference/2> ; li:policyVersion 11 ; li:lossVersion 12 ; li:action "new" .'
+    for bad in ((o.where("false"), i), (o, i.where("false"))):
+        with pytest.raises(Exception, match="InvalidLineage"):
+            rdf.record_lines(*bad, p, c, e, d, "urn:x:").collect()
+
+
 def test_evaluation_plan():
     from dataclasses import replace
 
