@@ -100,7 +100,8 @@ def resample(samples: np.ndarray, first: int, last: int) -> np.ndarray:
 
 
 def frame_count(n_samples: int) -> int:
-    return 1 + max(0, resampled_length(n_samples) - FRAME) // HOP
+    """Frames that cover every sample; the last one may reach beyond the end."""
+    return 1 + -(-max(0, resampled_length(n_samples) - FRAME) // HOP)
 
 
 def mel_blocks(samples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -111,6 +112,7 @@ def mel_blocks(samples: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         n = min(BLOCK, total - f)
         last = min(f * HOP + (n - 1) * HOP + FRAME, length)
         y = resample(samples, f * HOP, last)
+        y = np.pad(y, (0, (n - 1) * HOP + FRAME - len(y)))  # zero level behind the end
         frames = np.lib.stride_tricks.sliding_window_view(y, FRAME)[::HOP][:n]
         power = np.abs(np.fft.rfft(frames * window, FFT, axis=1)).astype(np.float32) ** 2
         yield np.maximum(np.log(power @ mels + 1e-5), np.float32(FLOOR)), np.einsum("ij,ij->i", frames, frames) / FRAME
@@ -144,7 +146,8 @@ def extract(payload: bytes) -> Features:
     patches.reshape(-1, MELS)[:n] = mel
     begin = np.arange(len(patches)) * PATCH
     end = np.minimum(begin + PATCH, n)
-    seconds = lambda b, e: np.stack([b * HOP / NEW_RATE, ((e - 1) * HOP + FRAME) / NEW_RATE], axis=1)
+    length = resampled_length(len(samples))
+    seconds = lambda b, e: np.stack([b * HOP / NEW_RATE, np.minimum((e - 1) * HOP + FRAME, length) / NEW_RATE], axis=1)
     spans = hysteresis(db)
     return Features(pa.FixedShapeTensorArray.from_numpy_ndarray(patches), seconds(begin, end), seconds(spans[:, 0], spans[:, 1]), n)
 

@@ -291,6 +291,18 @@ def test_resampling_equals_the_plain_form(monkeypatch):
     assert np.array_equal(audio.extract(x.tobytes()).tensors.to_numpy_ndarray(), whole.tensors.to_numpy_ndarray())
 
 
+def test_every_sample_is_in_a_frame():
+    for units in (1, 2, 3, 5, 7):
+        x = np.random.default_rng(units).integers(0, 256, 576 * units).astype(np.uint8)
+        n, length = audio.frame_count(len(x)), audio.resampled_length(len(x))
+        assert (n - 1) * audio.HOP + audio.FRAME >= length > (n - 2) * audio.HOP + audio.FRAME
+        other = x.copy()
+        other[-12:] ^= 0x80
+        whole = audio.extract(x.tobytes())
+        assert audio.describe(whole) != audio.describe(audio.extract(other.tobytes()))
+        assert whole.patch_s[-1, 1] == length / audio.NEW_RATE
+
+
 def test_hysteresis_and_tensors(odd):
     db = np.array([-20, -8, -10, -11, -13, -10, -8, -20.0])
     assert audio.hysteresis(db).tolist() == [[1, 4], [6, 7]]
