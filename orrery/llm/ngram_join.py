@@ -92,7 +92,7 @@ def shared_counts(sets: DataFrame, column: str, buckets: int) -> DataFrame:
     """(node, shared): how many shingles of ``column`` some other row has too; rows with none are left out.
 
     ``sets``: node and bytes of distinct hashes.  Shingles travel as packed arrays, one row for each
-    batch and bucket.  What occurs twice in a batch is counted there and sent once without a node, so a
+    batch and bucket.  What occurs twice in a batch is counted there and sent once, flagged, so a
     shingle of a third of all documents is one entry for each batch, not one for each document.
     """
 
@@ -109,32 +109,33 @@ def shared_counts(sets: DataFrame, column: str, buckets: int) -> DataFrame:
             count = np.diff(np.r_[first, len(tokens)])
             many = np.repeat(count > 1, count)
             ids, here = np.unique(node[many], return_counts=True)
-            out_t, out_n = tokens[first], np.where(count > 1, -1, node[first])
+            out_t, out_n, out_f = tokens[first], node[first], (count > 1).astype(np.uint8)
             home = (out_t >> np.uint64(40)) % np.uint64(buckets)
             by = np.argsort(home, kind="stable")
-            out_t, out_n, home = out_t[by], out_n[by], home[by]
+            out_t, out_n, out_f, home = out_t[by], out_n[by], out_f[by], home[by]
             cut = np.flatnonzero(np.r_[True, home[1:] != home[:-1]]) if len(home) else np.zeros(0, np.int64)
             ends = np.r_[cut[1:], len(home)].astype(np.int64) if len(cut) else cut
-            rows = [(int(home[a]), out_t[a:b].tobytes(), out_n[a:b].astype(np.int64).tobytes(), b"") for a, b in zip(cut, ends, strict=True)]
+            rows = [(int(home[a]), out_t[a:b].tobytes(), out_n[a:b].astype(np.int64).tobytes(), out_f[a:b].tobytes()) for a, b in zip(cut, ends, strict=True)]
             rows.append((int(ids[0] + k) % buckets if len(ids) else 0, b"", ids.astype(np.int64).tobytes(), here.astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "tokens", "nodes", "counts"])
 
     def meet(table: pa.Table) -> pa.Table:
-        tokens, nodes, ids, here = [], [], [], []
+        tokens, nodes, flags, ids, here = [], [], [], [], []
         for t, n, c in zip(*(table.column(x).to_pylist() for x in ("tokens", "nodes", "counts")), strict=True):
             if t:
                 tokens.append(np.frombuffer(t, np.uint64))
                 nodes.append(np.frombuffer(n, np.int64))
+                flags.append(np.frombuffer(c, np.uint8))
             else:
                 ids.append(np.frombuffer(n, np.int64))
                 here.append(np.frombuffer(c, np.int64))
         if tokens:
-            t, n = np.concatenate(tokens), np.concatenate(nodes)
+            t, n, many = np.concatenate(tokens), np.concatenate(nodes), np.concatenate(flags)
             order = np.argsort(t, kind="stable")
-            t, n = t[order], n[order]
+            t, n, many = t[order], n[order], many[order]
             first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
             count = np.diff(np.r_[first, len(t)])
-            shared = np.repeat((count > 1) | (np.minimum.reduceat(n, first) < 0), count) & (n >= 0)
+            shared = np.repeat((count > 1) | (np.maximum.reduceat(many, first) > 0), count) & (many == 0)
             a, b = np.unique(n[shared], return_counts=True)
             ids.append(a)
             here.append(b)
@@ -315,8 +316,16 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return written(first.select(F.col("t.token").alias("token"), "node", "n"), "prefixes")
 
 
-def links(sets: DataFrame) -> DataFrame:
-    """(node, component) of all sets that link with another."""
+def same_ids(sigs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes in which rows of one ``doc_id`` stand."""
+    some = sigs.where("doc_id IS NOT NULL AND n > 0")
+    twice = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("doc_id")
+    of = some.join(twice, "doc_id", "left_semi").select("doc_id", "f1", "f2").join(classes, ["f1", "f2"])
+    return of.where(F.col("doc_id") != F.col("rep")).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
+def links(sets: DataFrame, known: DataFrame) -> DataFrame:
+    """(node, component) of all sets that link with another; ``known`` are links (a, b) besides."""
     total = sets.agg(F.sum("n")).first()[0]
     blocks = _buckets(total, BLOCK)
     rows = prefixes(sets)
@@ -335,7 +344,7 @@ def links(sets: DataFrame) -> DataFrame:
     fits = (F.col("high") * 5 >= F.col("n") * 4) & (F.col("low") * 4 <= F.col("n") * 5)
     routes = open_rows.join(written(places, "places"), "token").where(fits).select("node", "block").groupBy("node", "block").agg(F.lit(1).alias("_one")).drop("_one")
     more = written(search_blocks(sets, routes, blocks), "links")
-    both = more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    both = more.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(known)
     return connected_components(both)
 
 
@@ -344,7 +353,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sigs = written(signatures(docs), "signatures")
     classes = written(sigs.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
     sets = candidate_sets(docs, sigs, classes)
-    named = written(links(sets), "named")
+    named = written(links(sets, written(same_ids(sigs, classes), "same_ids")), "named")
     slim = sigs.select("doc_id", "n", "f1", "f2")
     of_class = classes.join(named, classes["rep"] == named["node"], "left").select("f1", "f2", F.least("rep", F.coalesce("component", "rep")).alias("component"))
     joined = slim.join(of_class, ["f1", "f2"], "left")

@@ -375,6 +375,15 @@ def test_components(spark, odd_rows, seed, monkeypatch):
     assert {r["doc_id"]: r["n_shingles"] for r in got} == {i: len(shingle_set(t)) for i, t in rows}
 
 
+def test_negative_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "DEALT_ROWS", 1)  # partners in other batches
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(-9, text(1)), (-4, text(1) + " more"), (3, text(2)), (5, text(2)), (5, text(3)), (8, text(3)), (7, text(4))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(d).collect()}
+    assert got == {(-9, -9), (-4, -9), (3, 3), (5, 3), (8, 3), (7, 7)}
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 50)).astype(np.uint64)) for _ in range(200)]
