@@ -68,10 +68,18 @@ def resolve_stream(stream: DataFrame, runtime: Runtime, name: str, checkpoint: s
 
 
 def resolved_from_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> DataFrame:
-    """observation_id, action, identity_id of all events, resolved in ``parts`` micro-batches."""
+    """observation_id, action, identity_id of all events, resolved in ``parts`` micro-batches.
+
+    An event that supersedes a missing one is rejected and gets no decision.
+    """
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    o = adapters.observations(spark, sf_dir).select("observation_id", "ingestion_time", "content_hash", F.lit(None).cast("long").alias("supersedes"), "user_id", "value")
-    o.repartition(parts).write.parquet(f"{root}/in")
+    o = adapters.observations(spark, sf_dir).select("observation_id", "ingestion_time", "content_hash", "supersedes", "user_id", "value")
+    # one file after the other by ascending id, since files are read by their time: what is superseded comes first
+    lo, hi = o.agg(F.min("observation_id"), F.max("observation_id")).first()
+    step = -(-(hi - lo + 1) // parts) if hi is not None else 1
+    for k in range(parts if hi is not None else 0):
+        part = o.where((F.col("observation_id") >= lo + k * step) & (F.col("observation_id") < lo + (k + 1) * step))
+        part.repartition(1).write.mode("append").parquet(f"{root}/in")
     runtime = Runtime(Ledger(FolderBackend(spark, f"{root}/ledger")), f"{root}/tables", [ValueProvider(adapters.identities(spark, sf_dir).select("identity_id"))], Config(new_prior=-1.0, noise_prior=-2.0))
     resolve_stream(limited(spark, f"{root}/in", 1), runtime, "events", f"{root}/state").awaitTermination()
     return runtime.ledger.table(spark, "decisions").select("observation_id", "action", "identity_id")

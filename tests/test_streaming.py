@@ -50,6 +50,15 @@ def test_stop_and_restart_gives_the_same_ledger(spark, sf, tmp_path):
     assert (once.version, twice.version) == (2, 4)
 
 
+def test_links_to_missing_observations_are_rejected(spark, sf, tmp_path):
+    from pyspark.sql import functions as F
+
+    e = spark.read.parquet(f"{sf}/events.parquet").where("event_id < 60 AND event_id <> 20")
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["observation_id"] for r in resolve.resolved_from_stream(spark, str(tmp_path)).collect()}
+    assert got == {r["event_id"] for r in e.where(F.col("event_id") != 29).collect()}
+
+
 def test_quiet_identities_leave_the_state(spark, tmp_path):
     from orrery.streaming.eviction import active_identities
 
