@@ -288,14 +288,15 @@ def bayes_decide(spark, sf_dir):
     return d.select("inference_id", "action", F.coalesce("identity_id", F.lit(-1).cast("long")).alias("identity_id"), r6(F.col("risk")).alias("risk"))
 
 
-_TURNS = """t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, conv_id * 1000 + turn AS v FROM conversations WHERE turn < 2)"""
+#: Conversations as graphs: a variable for each turn; its number holds both.
+TURN_SPAN = 1_000_000
+_TURNS = f"""t AS (SELECT conv_id, turn, length(coalesce(text, '')) AS n, conv_id * {TURN_SPAN} + turn AS v FROM conversations)"""
 CONFIG = infer.Config(new_prior=-1.0, noise_prior=-2.0)
 
 
-def _turns(spark, sf_dir, most=None):
+def _turns(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    c = c if most is None else c.where(F.col("turn") < most)
-    return c.select(F.col("conv_id").alias("batch_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("variable"), F.lit(1).alias("candidates"), F.length(F.coalesce("text", F.lit(""))).alias("n"), "turn")
+    return c.select(F.col("conv_id").alias("batch_id"), (F.col("conv_id") * TURN_SPAN + F.col("turn")).alias("variable"), F.lit(1).alias("candidates"), F.length(F.coalesce("text", F.lit(""))).alias("n"), "turn")
 
 
 def _unary(t):
@@ -307,30 +308,23 @@ def _pair(t, step, weight):
     a = t.select("batch_id", F.col("variable").alias("a"), "turn")
     b = t.select("batch_id", F.col("variable").alias("b"), (F.col("turn") - step).alias("turn"))
     table_ = F.array(*[F.lit(0.0 if i == j else -weight) for i in range(3) for j in range(3)])
-    return a.join(b, ["batch_id", "turn"]).select("batch_id", (F.col("a") + 10**9 * step).alias("factor_id"), F.array("a", "b").alias("variables"), F.array(F.lit(3), F.lit(3)).alias("cardinalities"), table_.alias("log_potentials"))
-
-
-@query(f"""WITH {_TURNS}, s AS (SELECT * FROM (VALUES (0), (1), (2)) x(s)),
-u AS (SELECT conv_id, turn, v, s, CASE s WHEN 0 THEN 0.0 - (n % 7) / 2.0 WHEN 1 THEN -1.0 - (n % 3) ELSE -2.5 END AS l FROM t, s),
-j AS (SELECT a.v AS va, a.s AS sa, b.v AS vb, b.s AS sb, exp(a.l + b.l + CASE WHEN a.s = b.s THEN 0 ELSE -2 END) AS w FROM u a JOIN u b ON a.conv_id = b.conv_id AND a.turn = 0 AND b.turn = 1),
-m AS (SELECT va AS variable, sa AS state, sum(w) AS w FROM j GROUP BY ALL UNION ALL SELECT vb, sb, sum(w) FROM j GROUP BY ALL
-  UNION ALL SELECT v, s, exp(l) FROM u WHERE v NOT IN (SELECT va FROM j UNION SELECT vb FROM j))
-SELECT variable, state, round(w / sum(w) OVER (PARTITION BY variable), 6) AS p, 'Exact' AS reason FROM m""")
+    return a.join(b, ["batch_id", "turn"]).select("batch_id", (F.col("a") + 10**15 * step).alias("factor_id"), F.array("a", "b").alias("variables"), F.array(F.lit(3), F.lit(3)).alias("cardinalities"), table_.alias("log_potentials"))
+
+
+# forward and backward sums along each run of consecutive turns, scaled at every turn
+@query(f"""WITH RECURSIVE {_TURNS}, u AS (SELECT conv_id, turn, v, exp(0.0 - (n % 7) / 2.0) AS e0, exp(-1.0 - (n % 3)) AS e1, exp(-2.5) AS e2 FROM t),
+fw AS (SELECT u.*, e0 AS a0, e1 AS a1, e2 AS a2 FROM u ANTI JOIN (SELECT conv_id, turn + 1 AS turn FROM t) p ON p.conv_id = u.conv_id AND p.turn = u.turn
+  UNION ALL SELECT u.*, u.e0 * (a0 + exp(-2.0) * (a1 + a2)) / (a0 + a1 + a2), u.e1 * (a1 + exp(-2.0) * (a0 + a2)) / (a0 + a1 + a2), u.e2 * (a2 + exp(-2.0) * (a0 + a1)) / (a0 + a1 + a2)
+  FROM fw JOIN u ON u.conv_id = fw.conv_id AND u.turn = fw.turn + 1),
+bw AS (SELECT u.*, 1.0::DOUBLE AS b0, 1.0::DOUBLE AS b1, 1.0::DOUBLE AS b2 FROM u ANTI JOIN (SELECT conv_id, turn - 1 AS turn FROM t) p ON p.conv_id = u.conv_id AND p.turn = u.turn
+  UNION ALL SELECT u.*, (bw.e0 * b0 + exp(-2.0) * (bw.e1 * b1 + bw.e2 * b2)) / (b0 + b1 + b2), (bw.e1 * b1 + exp(-2.0) * (bw.e0 * b0 + bw.e2 * b2)) / (b0 + b1 + b2), (bw.e2 * b2 + exp(-2.0) * (bw.e0 * b0 + bw.e1 * b1)) / (b0 + b1 + b2)
+  FROM bw JOIN u ON u.conv_id = bw.conv_id AND u.turn = bw.turn - 1),
+m AS (SELECT fw.v, unnest([0, 1, 2]) AS state, unnest([a0 * b0, a1 * b1, a2 * b2]) AS w, a0 * b0 + a1 * b1 + a2 * b2 AS z FROM fw JOIN bw ON fw.v = bw.v)
+SELECT v AS variable, state, round(w / z, 6) AS p, 'Exact' AS reason FROM m""")
 def pair_posterior_exact(spark, sf_dir):
-    """The first two turns of each conversation, tied by a pair factor: a tree.
-
-    Its SQL enumerates two turns only; ``chain_posterior`` is the same model over all turns.
-    """
-    t = _turns(spark, sf_dir, 2)
-    p = infer.posteriors(t, _unary(t).unionByName(_pair(t, 1, 2.0)), CONFIG)
-    return p.select("variable", "state", r6(F.col("p")).alias("p"), "reason")
-
-
-@query()
-def chain_posterior(spark, sf_dir):
     """All turns of each conversation, with a pair factor for each two consecutive ones: chains, solved exactly."""
     t = _turns(spark, sf_dir)
-    p = written(infer.posteriors(t, _unary(t).unionByName(_pair(t, 1, 2.0)), CONFIG), "chains")
+    p = infer.posteriors(t, _unary(t).unionByName(_pair(t, 1, 2.0)), CONFIG)
     return p.select("variable", "state", r6(F.col("p")).alias("p"), "reason")
 
 
@@ -388,19 +382,13 @@ def ledger_replay_contiguity(spark, sf_dir):
 
 # ---------------------------------------------------------------- merges, splits, dependencies
 
-_MERGES = """k AS (SELECT doc_id, lower(substr(coalesce(text, ''), 1, 40)) AS k FROM documents),
+_MERGES = """k AS (SELECT doc_id, lower(coalesce(text, '')) AS k FROM documents),
 m AS (SELECT doc_id, k, lag(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS b FROM k)"""
 
 
-#: The same over whole texts.
-_TEXT_MERGES = """k AS (SELECT doc_id, lower(coalesce(text, '')) AS k FROM documents),
-m AS (SELECT doc_id, k, lag(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS b FROM k)"""
-
-
-def _merges(spark, sf_dir, whole=False):
-    """Documents of one text (or text beginning) are merged in a chain; the decision is named by the later one."""
-    text = F.coalesce("text", F.lit(""))
-    key = F.sha2(F.lower(text if whole else F.substring(text, 1, 40)), 256)
+def _merges(spark, sf_dir):
+    """Documents of one whole text, but for case, are merged in a chain; the decision is named by the later one."""
+    key = F.sha2(F.lower(F.coalesce("text", F.lit(""))), 256)
     w = Window.partitionBy("k").orderBy("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", key.alias("k")).select("doc_id", F.lag("doc_id").over(w).alias("b"))
 
@@ -424,19 +412,6 @@ def split_effect(spark, sf_dir):
     return _canonical(spark, sf_dir, _merges(spark, sf_dir).where("doc_id % 3 <> 0"))
 
 
-@query(f"WITH {_TEXT_MERGES} SELECT doc_id AS identity_id, min(doc_id) OVER (PARTITION BY k) AS canonical_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY k) THEN 'Active' ELSE 'Merged' END AS status FROM m")
-def merge_canonical_text(spark, sf_dir):
-    """``merge_canonical`` by whole texts; that one keeps to its SQL, which compares 40 characters."""
-    return _canonical(spark, sf_dir, _merges(spark, sf_dir, whole=True))
-
-
-@query(f"""WITH {_TEXT_MERGES}, s AS (SELECT doc_id, k, sum(CASE WHEN b IS NULL OR doc_id % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY doc_id) AS part FROM m)
-SELECT doc_id AS identity_id, min(doc_id) OVER (PARTITION BY k, part) AS canonical_id, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY k, part) THEN 'Active' ELSE 'Merged' END AS status FROM s""")
-def split_effect_text(spark, sf_dir):
-    """``split_effect`` by whole texts."""
-    return _canonical(spark, sf_dir, _merges(spark, sf_dir, whole=True).where("doc_id % 3 <> 0"))
-
-
 _CHAIN = """c AS (SELECT o_orderkey AS txn, o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p FROM orders),
 hit AS (SELECT txn, o_custkey, p, bool_or(txn % 50 = 0) OVER (PARTITION BY o_custkey ORDER BY txn) AS h FROM c)"""
 
@@ -444,7 +419,7 @@ hit AS (SELECT txn, o_custkey, p, bool_or(txn % 50 = 0) OVER (PARTITION BY o_cus
 def _reverted(spark, sf_dir):
     d = adapters.dependencies(spark, sf_dir)
     roots = d.where("txn % 50 = 0").select(F.col("txn").alias("node"))
-    return d, graph.forest_closure(d.select(F.col("txn").alias("node"), F.col("depends_on").alias("parent")), roots).withColumnRenamed("node", "txn")
+    return d, graph.closure(d.select(F.col("depends_on").alias("a"), F.col("txn").alias("b")), roots).withColumnRenamed("node", "txn")
 
 
 @query(f"WITH {_CHAIN} SELECT txn FROM hit WHERE h")
@@ -452,6 +427,20 @@ def dependency_closure(spark, sf_dir):
     return _reverted(spark, sf_dir)[1]
 
 
+_DAG = """e AS (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS p, o_orderkey AS txn FROM orders
+  UNION SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey), o_orderkey FROM orders),
+reached AS (SELECT o_orderkey AS txn FROM orders WHERE o_orderkey % 200 = 0 UNION SELECT e.txn FROM reached JOIN e ON e.p = reached.txn)"""
+
+
+@query(f"WITH RECURSIVE {_DAG} SELECT txn FROM reached")
+def dependency_closure_dag(spark, sf_dir):
+    """Transactions with two parents: the customer's order before, and the one before of the same priority."""
+    o = table(spark, sf_dir, "orders")
+    before = [F.lag("o_orderkey").over(Window.partitionBy("o_custkey", *by).orderBy("o_orderkey")) for by in ((), ("o_orderpriority",))]
+    e = o.select(F.array(*before).alias("a"), F.col("o_orderkey").alias("b")).select(F.explode("a").alias("a"), "b")
+    return graph.closure(e, o.where("o_orderkey % 200 = 0").select(F.col("o_orderkey").alias("node"))).withColumnRenamed("node", "txn")
+
+
 @query(f"WITH {_CHAIN} SELECT o_custkey AS customer, count(*) FILTER (WHERE NOT h) AS active, count(*) FILTER (WHERE h) AS reverted, max(CASE WHEN NOT h THEN txn END) AS last_active FROM hit GROUP BY 1")
 def cascade_revert(spark, sf_dir):
     d, gone = _reverted(spark, sf_dir)

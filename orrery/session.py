@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,12 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (tests, one machine)
-    a temporary folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset and all runs on one machine
+    (tests) a temporary folder is made and set; a cluster without the setting is refused, since its
+    executors would write to disks that no one else reads.
     """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="orrery-checkpoint-")
         sc.setCheckpointDir(root)
     return root
@@ -52,15 +57,53 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage: what follows no longer depends on shuffle files or caches of any executor.
-    The table stays until ``discard``, since results that read it are lazy.
+    The table stays until ``release`` or ``discard``, since results that read it are lazy.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made.  Nothing that is still to be computed may read them."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_path)
+
+
+#: Tables made inside each ``intermediate`` block that is open, innermost last.
+_open: list[list[DataFrame]] = []
+
+
+@contextmanager
+def intermediate() -> Iterator[Callable[..., None]]:
+    """A block whose written tables are deleted at its end, but for those it was told to keep.
+
+    ``with intermediate() as keep: ... keep(table, ...)``: what a lazy result still reads is kept, and
+    belongs to the block around this one.  After an error all stay, for whoever looks into it.
+    """
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _open.append(made)
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        _open.pop()
+    stay = {t._written_path for t in kept if hasattr(t, "_written_path")}
+    release(*[t for t in made if t._written_path not in stay])
+    if _open:
+        _open[-1].extend(t for t in made if t._written_path in stay)
 
 
 def discard(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application, once its results are stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch(spark))

@@ -29,6 +29,6 @@ def test_merges_compare_whole_texts(spark, tmp_path):
     head = "the same forty characters stand at the front of these: "
     rows = [(1, head + "a"), (2, head + "b"), (4, head.upper() + "A"), (5, head + "b")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("merge_canonical_text", "split_effect_text"):
+    for name in ("merge_canonical", "split_effect"):
         got = {r["identity_id"]: r["canonical_id"] for r in catalogue.queries()[name](spark, str(tmp_path)).collect()}
         assert got == {1: 1, 2: 2, 4: 1, 5: 2}

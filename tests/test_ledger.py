@@ -195,15 +195,37 @@ def test_durable_ledger(spark, tmp_path):
     fails("VersionGap", Ledger, FolderBackend(spark, root))
 
 
-def test_graph(spark):
-    e = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (7, 7), (2000, 2000)], "a long, b long")
+@pytest.mark.parametrize("edges_of_a_task", [1_000_000, 0])
+def test_graph(spark, monkeypatch, edges_of_a_task):
+    monkeypatch.setattr(graph, "TASK_EDGES", edges_of_a_task)
+    e = spark.createDataFrame([(k, k + 1) for k in range(300)] + [(1000, 1001), (7, 7), (2000, 2000), (None, 5)], "a long, b long")
     got = {r["node"]: r["component"] for r in graph.connected_components(e).collect()}
-    assert {got[k] for k in range(301)} == {0} and got[1001] == 1000 and got[2000] == 2000
+    assert {got[k] for k in range(301)} == {0} and got[1001] == 1000 and got[2000] == 2000 and len(got) == 304
     assert graph.connected_components(e.limit(0)).count() == 0
-    chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(300)] + [(900, 901), (901, 900)], "node long, parent long")
-    assert graph.forest_closure(chain, spark.createDataFrame([(250,)], "node long")).count() == 50
-    d = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)], "a long, b long")
-    assert sorted(r["node"] for r in graph.closure(d, spark.createDataFrame([(1,)], "node long")).collect()) == [1, 2, 3, 4]
+    reached = lambda edges, *roots: sorted(r["node"] for r in graph.closure(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(r,) for r in roots], "node long")).collect())
+    assert reached([(k, k + 1) for k in range(300)] + [(901, 900), (900, 901), (None, 7)], 250) == list(range(250, 301))
+    assert reached([(1, 2), (2, 3), (3, 1), (3, 4), (8, 9)], 1) == [1, 2, 3, 4]
+    assert reached([(1, 3), (2, 3), (3, 4)], 1) == [1, 3, 4]  # two parents, one of them reached
+    rng = random.Random(3)
+    for _ in range(3):
+        edges = [(rng.randrange(40), rng.randrange(40)) for _ in range(45)] + [(100 + k, 101 + k) for k in range(9)] + [(109, 3)]
+        want, roots = {5, 103, 777}, (5, 103, 777)
+        while more := {b for a, b in edges if a in want} - want:
+            want |= more
+        assert reached(edges, *roots) == sorted(want)
+
+
+@pytest.mark.parametrize("edges_of_a_task", [1_000_000, 0])
+def test_closure_of_a_long_chain(spark, monkeypatch, edges_of_a_task):
+    monkeypatch.setattr(graph, "TASK_EDGES", edges_of_a_task)
+    chain = spark.range(100_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert graph.closure(chain, spark.createDataFrame([(1,)], "node long")).count() == 100_000
+
+
+def test_chains_of_components_are_not_cut(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    e = spark.range(5_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert graph.connected_components(e).select("component").distinct().count() == 1
 
 
 def test_workspace(spark):
