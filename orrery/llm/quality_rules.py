@@ -70,30 +70,30 @@ def _host_lines(text: Column, host: Column, version: Column) -> Column:
     lines = F.split(F.lower(text), "\n", -1)
     counted = F.transform(
         F.transform(lines, lambda line: F.btrim(line, F.lit(BLANKS))),
-        lambda k: F.struct(F.xxhash64(F.coalesce(host, F.lit("\x00")), k).alias("line"), version.alias("version"), F.regexp_count(k, F.lit(BLANK + "+")).alias("gaps"), F.length(k).alias("n")),
+        lambda k: F.struct(F.xxhash64(F.coalesce(host, F.lit("\x00")), k).alias("a"), F.hash(F.coalesce(host, F.lit("\x00")), k).alias("b"), version.alias("version"), F.regexp_count(k, F.lit(BLANK + "+")).alias("gaps"), F.length(k).alias("n")),
     )
-    return F.transform(F.filter(counted, lambda x: x["n"] > 0), lambda x: F.struct(x["line"], x["version"], (x["gaps"] + 1).cast("long").alias("words")))
+    return F.transform(F.filter(counted, lambda x: x["n"] > 0), lambda x: F.struct(x["a"], x["b"], x["version"], (x["gaps"] + 1).cast("long").alias("words")))
 
 
 def quality_rules(docs: DataFrame, host: str = "source", min_words: int = MIN_WORDS, max_docs: int = MAX_DOCS_PER_HOST, min_left: float = MIN_LEFT) -> DataFrame:
-    """doc_id, the statistics, n_removed_words, base_failed and kept, for each row of ``docs``.
+    """doc_id, the statistics, base_failed, kept and n_removed_words, for each row of ``docs``.
 
-    Scale: texts are never shuffled.  Rows of (line hash, document) are combined by document first;
+    96 bits of hash stand for a line of a host.  Scale: texts are never shuffled.  Rows of (line hash, document) are combined by document first;
     the count for each line combines before its shuffle, so a line of a third of all documents is one
     row for each map task; the join back is a sort-merge join, whose skewed keys are split.
     """
     version = F.xxhash64("text")
     rows = (
         docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
-        .select("doc_id", F.inline(let(version, lambda v: _host_lines(F.col("text"), F.col(host), v))).alias("line", "version", "words"))
-        .groupBy("line", "doc_id", "version")
+        .select("doc_id", F.inline(let(version, lambda v: _host_lines(F.col("text"), F.col(host), v))).alias("a", "b", "version", "words"))
+        .groupBy("a", "b", "doc_id", "version")
         .agg(F.sum("words").alias("words"))
     )
     # written, so that texts are hashed once and both sides of the join are plain tables, whose skewed keys can be split
     held = written(rows, "host-lines")
-    over = held.groupBy("line", "doc_id").agg(F.lit(1).alias("_one")).groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("line")
+    over = held.groupBy("a", "b", "doc_id").agg(F.lit(1).alias("_one")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("a", "b")
     over = written(over, "host-lines-over")
-    gone_lines = written(held.join(over.hint("merge"), "line").select("doc_id", "version", "words"), "host-lines-gone")
+    gone_lines = written(held.join(over.hint("merge"), ["a", "b"]).select("doc_id", "version", "words"), "host-lines-gone")
     removed = gone_lines.groupBy(F.col("doc_id").alias("_id"), F.col("version").alias("_version")).agg(F.sum("words").alias("_removed"))
     stats = docs.select("doc_id", version.alias("_v"), text_statistics(F.col("text")).alias("s")).select("doc_id", "_v", "s.*")
     found = stats.join(removed, (stats["doc_id"] == removed["_id"]) & (stats["_v"] == removed["_version"]), "left")
@@ -106,7 +106,7 @@ def quality_rules(docs: DataFrame, host: str = "source", min_words: int = MIN_WO
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
-        gone.alias("n_removed_words"),
         failed.alias("base_failed"),
         (~failed & (F.col("n_words") - gone >= F.lit(min_left) * F.col("n_words"))).alias("kept"),
+        gone.alias("n_removed_words"),
     )
