@@ -8,8 +8,10 @@ epochs and, of the next seeded epoch, the prefix of documents that the rest of i
 
 Defined results: null domain, lang or source is the child "other"; a null or empty text has no tokens,
 and is taken with whatever prefix it falls into; a weight that is not named is 1; children of weight 0
-get nothing; rows that repeat a ``doc_id`` stand next to each other in the order; a null ``doc_id`` is
-ordered as -1; an empty table gives an empty result.
+get nothing; rows that repeat a ``doc_id`` stand next to each other in the order, by their tokens; of rows that
+are equal in both, as many are taken as the budget pays for, by a hash of the text; a null ``doc_id`` is ordered as -1;
+an empty table gives an empty result; other columns are left as they are, whatever their names, but for
+``_domain``, ``_tokens`` and ``_copies``, which are replaced.
 """
 
 from __future__ import annotations
@@ -17,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.text import words
-from orrery.session import written
+from orrery.llm.text import unused, words
+from orrery.session import intermediate, written
 
 #: Up to so many leaves (about 100 bytes each) the leaf table is broadcast; beyond, it is joined by shuffle.
 MAX_BROADCAST_LEAVES = 20_000
@@ -90,22 +92,50 @@ def mix(
     order key with their leaf's cut.
     """
     weights = weights or {}
+    docs = docs.drop("_domain", "_tokens", "_copies")
+    leaf_domain, leaf_lang, leaf_source, whole_, rest_, out_, tie_ = unused(docs, "leaf_domain", "leaf_lang", "leaf_source", "whole", "rest", "out", "tie")
     other = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("other"))
     n = (F.size(words(F.col("text"))) if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long")
     own = docs.select("*", F.coalesce(default_domain() if domain is None else domain, F.lit("other")).alias("_domain"), n.alias("_tokens"))
     id_text = F.coalesce(F.col("doc_id").cast("string"), F.lit("-1"))
-    slim = own.select(F.col("_domain").alias("domain"), other("lang").alias("lang"), other("source").alias("source"), id_text.alias("id"), F.col("_tokens").alias("tokens"))
-    slim = written(slim, "mix-tokens")
-    leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"))
-    plan = leaf_budgets(leaves, share, weights, max_epochs)
-    whole = F.when(F.col("supply") > 0, F.floor(F.col("quota") / F.col("supply"))).otherwise(F.lit(0)).cast("long")
-    plan = plan.withColumn("whole", whole).withColumn("rest", F.col("quota") - F.col("whole") * F.col("supply"))
-    plan = written(plan, "mix-plan")
-    few = plan.count() <= MAX_BROADCAST_LEAVES
-    near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    keyed = slim.join(near(plan), list(LEVELS)).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id"))))
-    keyed = keyed.select(*LEVELS, "key", "id", "tokens")
-    # for each leaf the bucket of keys in which its prefix ends, two more digits at a time, and what is left when it begins
+    with intermediate() as keep:
+        slim = own.select(F.col("_domain").alias("domain"), other("lang").alias("lang"), other("source").alias("source"), id_text.alias("id"), F.col("_tokens").alias("tokens"))
+        slim = written(slim, "mix-tokens")
+        leaves = slim.groupBy(*LEVELS).agg(F.sum("tokens").alias("supply"))
+        plan = leaf_budgets(leaves, share, weights, max_epochs)
+        whole = F.when(F.col("supply") > 0, F.floor(F.col("quota") / F.col("supply"))).otherwise(F.lit(0)).cast("long")
+        plan = plan.withColumn("whole", whole).withColumn("rest", F.col("quota") - F.col("whole") * F.col("supply"))
+        plan = written(plan, "mix-plan")
+        few = plan.count() <= MAX_BROADCAST_LEAVES
+        near = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+        keyed = slim.join(near(plan), list(LEVELS)).withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.col("whole").cast("string"), F.lit(":"), F.col("id"))))
+        cut = written(plan.join(first_outside(keyed.select(*LEVELS, "key", "id", "tokens"), plan, near, depth), list(LEVELS), "left"), "mix-cut")
+        keep(cut)
+    cut = cut.select(*[F.col(c).alias(a) for c, a in zip(LEVELS, (leaf_domain, leaf_lang, leaf_source), strict=True)], F.col("whole").alias(whole_), F.col("rest").alias(rest_), F.col("out").alias(out_))
+    on = (F.col("_domain") == F.col(leaf_domain)) & (other("lang") == F.col(leaf_lang)) & (other("source") == F.col(leaf_source))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col(whole_).cast("string"), F.lit(":"), id_text))
+    mine = F.struct(key.alias("key"), id_text.alias("id"), F.col("_tokens").alias("tokens"))
+    last = F.struct(F.col(f"{out_}.key").alias("key"), F.col(f"{out_}.id").alias("id"), F.col(f"{out_}.tokens").alias("tokens"))
+    partly = (F.col(rest_) > 0) & (F.col(out_).isNull() | (mine < last))
+    taken = lambda more: (F.col(whole_) + more.cast("long")).alias("_copies")
+    columns = [*docs.columns, "_domain", "_tokens"]
+    if cut.where(F.col(out_).isNotNull() & (F.col(f"{out_}.fit") > 0)).isEmpty():
+        return own.join(near(cut), on).select(*columns, taken(partly))
+    # some leaf's prefix ends among equal rows: these alone are numbered
+    tied = (F.col(rest_) > 0) & F.coalesce((F.col(f"{out_}.fit") > 0) & (mine == last), F.lit(False))
+    joined = own.join(near(cut), on).withColumn(tie_, tied)
+    number = F.row_number().over(Window.partitionBy(leaf_domain, leaf_lang, leaf_source).orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns)))
+    rest = joined.where(~F.col(tie_)).select(*columns, taken(partly))
+    ties = joined.where(F.col(tie_)).withColumn(tie_, number <= F.col(f"{out_}.fit")).select(*columns, taken(F.col(tie_)))
+    return rest.unionByName(ties)
+
+
+def first_outside(keyed: DataFrame, plan: DataFrame, near, depth: int) -> DataFrame:
+    """For each leaf whose prefix ends before its last row: ``out`` (key, id, tokens, fit), the first row outside.
+
+    ``fit``: how many rows equal to it the prefix still takes.
+    """
+    # the bucket of keys in which the prefix ends, two more digits at a time, and what is left when it begins
     edge = plan.select(*LEVELS, F.lit("").alias("bucket"), F.col("rest").alias("left"))
     upto = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     for digits in range(2, depth + 1, 2):
@@ -114,19 +144,10 @@ def mix(
         sums = sums.withColumn("end", F.sum("n").over(upto)).where((F.col("end") > F.col("left")) & (F.col("end") - F.col("n") <= F.col("left")))
         first = F.min(F.struct("bucket", (F.col("left") - F.col("end") + F.col("n")).alias("left")))
         edge = written(sums.groupBy(*LEVELS).agg(first.alias("e")).select(*LEVELS, "e.bucket", "e.left"), "mix-edge")
+    # rows equal in key, id and tokens are one row with a number here, so that a repeated row is no longer a run
+    inside = keyed.join(near(edge), list(LEVELS)).where(F.substring("key", 1, depth) == F.col("bucket"))
+    same = inside.groupBy(*LEVELS, "key", "id", "tokens").agg(F.count(F.lit(1)).alias("n"), F.first("left").alias("left"))
     running = Window.partitionBy(*LEVELS).orderBy("key", "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
-    first_out = (
-        keyed.join(near(edge), list(LEVELS))
-        .where(F.substring("key", 1, depth) == F.col("bucket"))
-        .withColumn("sum", F.sum("tokens").over(running))
-        .where(F.col("sum") > F.col("left"))
-        .groupBy(*LEVELS)
-        .agg(F.min(F.struct("key", "id", "tokens")).alias("out"))
-    )
-    cut = written(plan.join(first_out, list(LEVELS), "left").select(*[F.col(c).alias(f"_leaf_{c}") for c in LEVELS], F.col("whole").alias("_whole"), F.col("quota").alias("_quota"), F.col("rest").alias("_rest"), F.col("out").alias("_out")), "mix-cut")
-    on = (F.col("_domain") == F.col("_leaf_domain")) & (other("lang") == F.col("_leaf_lang")) & (other("source") == F.col("_leaf_source"))
-    joined = own.join(near(cut), on)
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.col("_whole").cast("string"), F.lit(":"), id_text))
-    mine = F.struct(key.alias("key"), id_text.alias("id"), F.col("_tokens").alias("tokens"))
-    partly = (F.col("_rest") > 0) & (F.col("_out").isNull() | (mine < F.col("_out")))
-    return joined.select(*docs.columns, "_domain", "_tokens", (F.col("_whole") + partly.cast("long")).alias("_copies"))
+    same = same.withColumn("sum", F.sum(F.col("tokens") * F.col("n")).over(running)).where(F.col("sum") > F.col("left"))
+    fit = F.floor((F.col("left") - F.col("sum") + F.col("tokens") * F.col("n")) / F.col("tokens")).alias("fit")
+    return same.groupBy(*LEVELS).agg(F.min(F.struct("key", "id", "tokens", fit)).alias("out"))

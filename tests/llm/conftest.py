@@ -30,7 +30,7 @@ def clashing(odd):
     """Columns whose names operators use themselves."""
     from pyspark.sql import functions as F
 
-    names = ("n", "set", "token", "node", "block", "score", "y", "part", "a", "b", "at", "keeper", "words", "line", "version", "n_tokens", "n_lines", "n_dropped", "held_out", "component_id", "w", "k", "text_", "order", "bucket", "whole", "rest", "key", "id", "domain", "tokens", "supply", "quota")
+    names = ("n", "set", "token", "node", "block", "score", "y", "part", "a", "b", "at", "keeper", "words", "line", "version", "n_tokens", "n_lines", "n_dropped", "held_out", "component_id", "w", "k", "text_", "order", "bucket", "whole", "rest", "key", "id", "domain", "tokens", "supply", "quota", "_domain", "_tokens", "_copies", "_whole", "_rest", "_leaf_lang", "leaf_lang", "whole_", "out", "tie", "_drop_id", "_drop_at", "drop_id", "drop_at", "_mark", "_copy", "_v", "_id", "_version", "_removed", "_one", "bucket_", "fit", "edge", "x", "places", "chunks")
     return odd.select("*", *[F.lit("clash").alias(n) for n in names])
 
 
