@@ -6,7 +6,8 @@ the labelled sample; lexicon, trees and calibration are cross-fitted over folds
 
 Defined results: a null or empty text has zero features and gets the score that these give; a null
 ``doc_id`` is scored and not held out; repeated rows get equal results; without usable labels of both
-classes every score is 0; an empty table gives an empty result; other columns are ignored.
+classes every score is 0; an empty table gives an empty result; other columns are ignored by
+``score_toxicity`` and left as they are by ``score_rows``, but for ``score``, which is replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from orrery.llm.arrow import slices
 from orrery.llm.boosting import Isotonic, Trees, fit_isotonic, fit_trees
 from orrery.llm.labelled import training_rows
 from orrery.llm.text import held_out
-from orrery.session import written
+from orrery.session import intermediate, written
 
 #: Labelled documents that are used for fitting at most.
 MAX_TRAIN = 12_000
@@ -163,12 +164,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, seed: int = 5
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold: float = 0.5, seed: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text)."""
-    scored = score_rows(docs.select("doc_id", "text"), fit(docs, labels, most, seed))
+    with intermediate():
+        model = fit(docs, labels, most, seed)
+    scored = score_rows(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def score_rows(docs: DataFrame, model: Model | None) -> DataFrame:
     """``docs`` with ``score``; one pass by partition.  The model (a few hundred KB) travels by broadcast."""
+    docs = docs.drop("score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
