@@ -11,9 +11,10 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,11 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.llm.arrow import slices
 from orrery.llm.labelled import training_rows
 from orrery.llm.text import held_out
+from orrery.session import intermediate, written
 
 #: Labelled documents that are used for fitting at most.
 MAX_TRAIN = 6_000
+#: Bytes of their encoded passages that the driver keeps (about 60 KB for a long document); a larger sample
+#: stays in its table and is read again for every epoch, a batch at a time, in the same order.
+KEPT_BYTES = 128 << 20
+#: Documents and passages of a batch, whichever comes first.
+BATCH_BAGS, BATCH_PASSAGES = 64, 20_000
 #: Words of a passage; passages of a text are consecutive and cover all of it.
 PASSAGE = 48
 HASHED, HIDDEN, GATE = 12, 32, 16
@@ -70,7 +78,7 @@ def _word(w: str) -> list[float]:
 
 
 class Words:
-    """Word -> row of a growing table of features; starts anew beyond a bound."""
+    """Word -> row of a growing table of features; starts anew beyond a bound.  Long words are known by a hash."""
 
     def __init__(self, most: int = 300_000):
         self.most, self.at, self.table = most, {}, np.zeros((1024, WORD_FEATURES + HASHED), np.float32)
@@ -83,10 +91,13 @@ class Words:
         for i, w in enumerate(words):
             k = at.get(w)
             if k is None:
-                k = at[w] = len(at)
-                if k >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k] = _word(w)
+                key = w if len(w) <= 64 else hashlib.blake2b(w.encode()).digest()
+                k = at.get(key)
+                if k is None:
+                    k = at[key] = len(at)
+                    if k >= len(self.table):
+                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.table[k] = _word(w)
             out[i] = k
         return out
 
@@ -163,24 +174,47 @@ class Net:
         return {"W": f["x"].T @ gx, "b": gx.sum(0), "V": h.T @ gt, "v": gt.sum(0), "U": h.T @ gs, "u": gs.sum(0), "a": (f["t"] * f["s"]).T @ ge, "c": f["z"].T @ g, "d": g.sum(keepdims=True)}
 
 
-def fit_net(bags: list[np.ndarray], y: np.ndarray, epochs: int = 30, batch: int = 64, rate: float = 4e-3, decay: float = 1e-4, seed: int = 3) -> Net:
+Bags = Iterator[tuple[np.ndarray, float]]
+
+
+def place(epoch: int, doc_id: int) -> int:
+    """The order of an epoch, which Spark can compute too."""
+    return zlib.crc32(f"{epoch}:{doc_id}".encode())
+
+
+def _batches(bags: Bags) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(passages, labels, first passage of each bag)."""
+    xs, y, n = [], [], 0
+    for x, label in bags:
+        xs.append(x)
+        y.append(label)
+        n += len(x)
+        if len(xs) >= BATCH_BAGS or n >= BATCH_PASSAGES:
+            yield np.concatenate(xs), np.array(y, np.float32), np.cumsum([0, *(len(x) for x in xs[:-1])])
+            xs, y, n = [], [], 0
+    if xs:
+        yield np.concatenate(xs), np.array(y, np.float32), np.cumsum([0, *(len(x) for x in xs[:-1])])
+
+
+def fit_net(read: Callable[[int], Bags], size: int, epochs: int = 30, rate: float = 4e-3, decay: float = 1e-4, seed: int = 3) -> Net:
+    """``read(epoch)`` gives all ``size`` bags and labels in that epoch's order; only a batch is held."""
     rng = np.random.default_rng(seed)
-    every = np.concatenate(bags)
     draw = lambda *shape: (rng.standard_normal(shape) / shape[0] ** 0.5).astype(np.float32)
     zero = lambda n: np.zeros(n, np.float32)
     p = {"W": draw(N_FEATURES, HIDDEN), "b": zero(HIDDEN), "V": draw(HIDDEN, GATE), "v": zero(GATE), "U": draw(HIDDEN, GATE), "u": zero(GATE), "a": draw(GATE), "c": draw(HIDDEN), "d": zero(1)}
-    net = Net(p, every.mean(0), every.std(0) + 1e-3)
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    steps, total = 0, epochs * max(1, -(-len(bags) // batch))
-    for _ in range(epochs):
-        order = rng.permutation(len(bags))
-        for k in range(0, len(order), batch):
-            own = order[k : k + batch]
-            xs = [bags[i] for i in own]
-            start = np.cumsum([0, *(len(x) for x in xs[:-1])])
-            g = net.gradient(net.forward(np.concatenate(xs), start), y[own], start)
-            steps += 1
-            lr = rate * (1 - steps / (total + 1))
+    count, total, squares = 0, np.zeros(N_FEATURES), np.zeros(N_FEATURES)
+    for x, _, _ in _batches(read(0)):
+        x = x.astype(np.float64)
+        count, total, squares = count + len(x), total + x.sum(0), squares + (x**2).sum(0)
+    mean = total / count
+    net = Net(p, mean.astype(np.float32), (np.sqrt(np.maximum(squares / count - mean**2, 0)) + 1e-3).astype(np.float32))
+    m, v, steps = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+    for epoch in range(epochs):
+        seen = 0
+        for x, y, start in _batches(read(epoch)):
+            g = net.gradient(net.forward(x, start), y, start)
+            steps, seen = steps + 1, seen + len(y)
+            lr = rate * (1 - (epoch + seen / (size + 1)) / epochs)
             for name, w in p.items():
                 grad = g[name].astype(np.float32) + decay * w
                 m[name] = 0.9 * m[name] + 0.1 * grad
@@ -198,28 +232,39 @@ def _worker_words() -> Words:
     return _worker[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, seed: int = 7) -> Net | None:
-    """The net, or None if the sample lacks a class.  Passages of the bounded sample come to the driver."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, seed: int = 7, kept_bytes: int = KEPT_BYTES) -> Net | None:
+    """The net, or None if the sample lacks a class."""
     rows = training_rows(docs, labels, "quality", most, seed)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                x = [passages(t, _worker_words()).tobytes() for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
+        for batch in slices(batches, 256):
+            x = [passages(t, _worker_words()).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(encode, "doc_id long, y int, x binary").toPandas().sort_values("doc_id")
-    if got.empty or got["y"].nunique() < 2:
+    bags = written(rows.mapInArrow(encode, "doc_id long, y int, x binary"), "passages")
+    size, size_bytes, kinds = bags.agg(F.count(F.lit(1)), F.sum(F.octet_length("x")), F.count_distinct("y")).first()
+    if kinds < 2:
         return None
-    bags = [np.frombuffer(b, np.float32).reshape(-1, N_FEATURES) for b in got["x"]]
+    bag = lambda r: (np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES), r["y"])
+    if size_bytes <= kept_bytes:
+        kept = {r["doc_id"]: bag(r) for r in bags.collect()}
+
+        def read(epoch: int) -> Bags:
+            return (kept[i] for i in sorted(kept, key=lambda i: (place(epoch, i), i)))
+    else:
+
+        def read(epoch: int) -> Bags:
+            order = F.crc32(F.concat(F.lit(f"{epoch}:"), F.col("doc_id").cast("string")))
+            return map(bag, bags.orderBy(order, "doc_id").toLocalIterator())
+
     # small samples take more passes, so that the number of steps does not depend on the table's size
-    return fit_net(bags, got["y"].to_numpy(np.float32), epochs=int(np.clip(180_000 / len(bags), 30, 200)))
+    return fit_net(read, size, epochs=int(np.clip(180_000 / size, 30, 200)))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN, threshold: float = 0.3, seed: int = 7) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most, seed))
+    with intermediate():
+        sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, most, seed))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, words = sent.value, _worker_words()
