@@ -1,10 +1,18 @@
 """Operator 8: SentencePiece encoding and decoding with a table of distinct chunks.
 
 No piece of the vocabulary holds a white-space marker behind another character, nor a line feed, so a
-segmentation never crosses those places.  Texts are cut there; each distinct marked word of a batch of
-rows is segmented once, and its ids are joined back by position.  The table is kept by each worker
-from batch to batch, up to a bound.  A table of all the corpus would need every word occurrence in a
-shuffle (several times the input); one for each worker gives the same ids without any shuffle.
+segmentation never crosses those places.  Texts are cut there, each distinct chunk (a marked word) of the
+corpus is segmented once, and its ids are joined back by position:
+
+1. A task cuts its texts, a block of them at a time.  A block is one row: the list of its distinct
+   chunks, and for each text the places of its chunks in that list.
+2. The lists are dealt to buckets by the chunks' hashes.  A bucket segments each of its distinct chunks
+   once and answers every block that has it.  Only a block's distinct chunks travel, never occurrences.
+3. Places and answers of a block meet; ids follow from the places.
+
+A block takes ``BLOCK_CHARS`` characters, or one longer text; a bucket about ``BUCKET_CHUNKS`` chunks,
+however large the corpus and its vocabulary are.  A vocabulary whose pieces do cross markers is
+encoded text by text.
 
 Defined results: a null text counts as empty (no ids, empty decoding); a null ``doc_id`` stays null;
 repeated rows each get a result; an empty table gives an empty result; other columns are ignored.
@@ -14,82 +22,73 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import zlib
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.arrow import slices
+from orrery.llm.packing import pack_numbers, pack_strings, unpack_numbers, unpack_strings
 from orrery.llm.vocab import resolve
+from orrery.session import written
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
-#: Chunks that a worker's table holds before it starts anew.
-TABLE_ENTRIES = 200_000
+#: Characters of the texts that are cut together.
+BLOCK_CHARS = 6_000_000
+#: Chunks, of all blocks, that are answered together.
+BUCKET_CHUNKS = 400_000
+#: Texts of a batch of results.
+ROWS_OUT = 1_000
 #: A marked word, a line feed, or markers before one.
 CHUNK = re.compile(" *[^ \n]+|\n| +")
 
+KINDS = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+SQL = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+
+
+def cut(text: str) -> Iterable[str]:
+    """Chunks of a text.  The library puts one marker before it; a marker in the text is as good as a space."""
+    if not text:
+        return ()
+    marked = " " + text.replace(MARK, " ")
+    return CHUNK.findall(marked) if len(text) < BLOCK_CHARS else (m.group() for m in CHUNK.finditer(marked))
+
 
 class Segmenter:
-    """Chunk -> (number of ids, ids as text, decoded text)."""
+    """The library, and whether chunks may be segmented on their own."""
 
-    def __init__(self, model: str, most: int = TABLE_ENTRIES):
+    def __init__(self, model: str):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=resolve(model))
         names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.whole = any(MARK in p.lstrip(MARK) or "\n" in p for p in names) or self.sp.encode("\n")[:-1] != self.sp.encode("\na")[:1]
-        self.table: dict[str, tuple[int, str, str]] = {}
-        self.most = most
 
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.table]
-        if len(self.table) + len(new) > self.most:
-            self.table, new = {}, list(chunks)
+    def chunks(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
+        """Ids and decoded text of each chunk as it stands inside a text."""
         # behind a line feed a chunk is segmented without the marker that the library puts before a text
-        ids = [x[2:] for x in self.sp.encode(["\n" + c for c in new], num_threads=1)]
+        ids = [x[2:] for x in self.sp.encode(["\n" + c for c in chunks], num_threads=1)]
         feed = self.sp.encode("\n")[-1]
-        for c, x, t in zip(new, ids, self.sp.decode([[feed, *x] for x in ids], num_threads=1), strict=True):
-            self.table[c] = len(x), ",".join(map(str, x)), t[1:]
-
-    def batch(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """For each text the number of ids, the ids as text, and the decoded text."""
-        if self.whole:  # a vocabulary whose pieces do cross markers
-            ids = self.sp.encode(texts, num_threads=1)
-            return [(len(x), ",".join(map(str, x)), self.sp.decode(x)) for x in ids]
-        # the library puts one marker before a text; a marker in the text is as good as a space
-        cut = [CHUNK.findall(" " + t.replace(MARK, " ")) if t else [] for t in texts]
-        self.learn(set().union(*cut))
-        out = []
-        for chunks in cut:
-            found = [self.table[c] for c in chunks]
-            out.append((sum(x[0] for x in found), ",".join([x[1] for x in found]), "".join([x[2] for x in found])[1:]))
-        return out
+        return ids, [t[1:] for t in self.sp.decode([[feed, *x] for x in ids], num_threads=1)]
 
 
 _workers: dict[str, Segmenter] = {}
-#: Texts are handled so many characters at a time, to bound the memory of a batch.
-BATCH_CHARS = 2_000_000
 
 
-def _slices(texts: list[str]) -> Iterator[list[str]]:
-    part, n = [], 0
-    for t in texts:
-        part.append(t)
-        n += len(t)
-        if n >= BATCH_CHARS:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def _segmenter(model: str) -> Segmenter:
+    if model not in _workers:
+        _workers[model] = Segmenter(model)
+    return _workers[model]
 
 
-def encode_texts(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
-    """doc_id and the ``outputs`` asked for: n_tokens, ids (array), decoded, ids_sha256, decoded_sha256."""
-    kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "decoded": pa.string(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    sql = {"n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+def _results(doc_ids: list, found: Iterator[tuple[int, str, str]], outputs: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Batches of doc_id and ``outputs``; ``found``: number of ids, ids as text, decoded text."""
     digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
     make = {
         "n_tokens": lambda x: x[0],
@@ -98,13 +97,134 @@ def encode_texts(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] =
         "ids_sha256": lambda x: digest(x[1]),
         "decoded_sha256": lambda x: digest(x[2]),
     }
+    ids, rows, size = [], [], 0
+    for i, x in zip(doc_ids, found, strict=True):
+        ids.append(i)
+        rows.append([make[k](x) for k in outputs])
+        size += len(x[2])
+        if len(ids) >= ROWS_OUT or size >= BLOCK_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[k] for r in rows], KINDS[o]) for k, o in enumerate(outputs))], ["doc_id", *outputs])
+            ids, rows, size = [], [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array([r[k] for r in rows], KINDS[o]) for k, o in enumerate(outputs))], ["doc_id", *outputs])
+
+
+# ---------------------------------------------------------------- the three steps
+
+
+def cut_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(block, doc_ids, sizes, places, chunks, n): a row for each block of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, number = TaskContext.get(), 0
+        home = (context.partitionId() if context else 0) << 32
+
+        def block(ids: list, sizes: list[int], places: array, at: dict[str, int]) -> pa.RecordBatch:
+            row = (home + number, ids, pack_numbers(np.array(sizes, np.int64)), pack_numbers(np.frombuffer(places, np.uint32)), pack_strings(list(at)), len(at))
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["block", "doc_ids", "sizes", "places", "chunks", "n"])
+
+        ids, sizes, places, at, chars = [], [], array("I"), {}, 0
+        for batch in slices(batches):
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                before = len(places)
+                places.extend([at.setdefault(c, len(at)) for c in chunks] if isinstance(chunks := cut(text or ""), list) else (at.setdefault(c, len(at)) for c in chunks))
+                ids.append(i)
+                sizes.append(len(places) - before)
+                chars += len(text or "")
+                if chars >= block_chars:
+                    yield block(ids, sizes, places, at)
+                    number += 1
+                    ids, sizes, places, at, chars = [], [], array("I"), {}, 0
+        if ids:
+            yield block(ids, sizes, places, at)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(run, "block long, doc_ids array<long>, sizes binary, places binary, chunks binary, n long")
+
+
+def answer_chunks(blocks: DataFrame, model: str, bucket_chunks: int = BUCKET_CHUNKS) -> DataFrame:
+    """(block, places, sizes, ids, odd, decoded): ids of a block's chunks, a row for each bucket that it asked."""
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // bucket_chunks))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                chunks = unpack_strings(data.as_buffer().to_pybytes())
+                home = np.fromiter((zlib.crc32(c.encode()) % buckets for c in chunks), np.int64, len(chunks))
+                order = np.argsort(home, kind="stable")
+                edges = np.searchsorted(home[order], np.arange(buckets + 1)).tolist()
+                rows = [(b, block, order[x:y]) for b, (x, y) in enumerate(zip(edges, edges[1:], strict=False)) if y > x]
+                columns = ([r[0] for r in rows], [r[1] for r in rows], [pack_numbers(r[2]) for r in rows], [pack_strings([chunks[k] for k in r[2].tolist()]) for r in rows])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "block", "places", "chunks"])
+
+    def segment(table: pa.Table) -> pa.Table:
+        asked = [unpack_strings(data) for data in table.column("chunks").to_pylist()]
+        names = list(dict.fromkeys(c for chunks in asked for c in chunks))
+        ids, decoded = _segmenter(model).chunks(names)
+        at = {c: k for k, c in enumerate(names)}
+        rows = []
+        for chunks in asked:
+            own = [at[c] for c in chunks]
+            # most chunks are decoded to themselves; the others are sent along
+            odd = [k for k, (c, x) in enumerate(zip(chunks, own, strict=True)) if decoded[x] != c]
+            rows.append((pack_numbers(np.array([len(ids[x]) for x in own], np.int64)), pack_numbers(np.array([i for x in own for i in ids[x]], np.int64)), pack_numbers(np.array(odd, np.int64)), pack_strings([decoded[own[k]] for k in odd])))
+        answers = [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
+        return pa.table([table.column("block"), table.column("places"), *answers], names=["block", "places", "sizes", "ids", "odd", "decoded"])
+
+    asked = blocks.select("block", "chunks").mapInArrow(deal, "bucket long, block long, places binary, chunks binary")
+    return asked.groupBy("bucket").applyInArrow(segment, "block long, places binary, sizes binary, ids binary, odd binary, decoded binary")
+
+
+def join_back(blocks: DataFrame, answers: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
+    def join(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        for row in left.to_pylist():
+            chunks = unpack_strings(row["chunks"])
+            sizes, texts, decoded = [0] * len(chunks), [""] * len(chunks), chunks
+            for a in right.to_pylist():
+                places, n = unpack_numbers(a["places"]).tolist(), unpack_numbers(a["sizes"])
+                ids, ends = list(map(str, unpack_numbers(a["ids"]).tolist())), np.cumsum(n).tolist()
+                for place, k, begin, end in zip(places, n.tolist(), [0, *ends], ends, strict=False):
+                    sizes[place], texts[place] = k, ",".join(ids[begin:end])
+                for k, text in zip(unpack_numbers(a["odd"]).tolist(), unpack_strings(a["decoded"]), strict=True):
+                    decoded[places[k]] = text
+            places = unpack_numbers(row["places"]).tolist()
+
+            def found(places: list[int] = places, sizes: list[int] = sizes, texts: list[str] = texts, decoded: list[str] = decoded, ends: list[int] = np.cumsum(unpack_numbers(row["sizes"])).tolist()) -> Iterator[tuple[int, str, str]]:
+                for begin, end in zip([0, *ends], ends, strict=False):
+                    own = places[begin:end]
+                    yield sum([sizes[p] for p in own]), ",".join([texts[p] for p in own]), "".join([decoded[p] for p in own])[1:]
+
+            yield from _results(row["doc_ids"], found(), outputs)
+
+    def whole(left: pa.Table, right: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(join(left, right)))
+
+    schema = "doc_id long, " + ", ".join(f"{k} {SQL[k]}" for k in outputs)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(whole, schema)
+
+
+def encode_texts(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
+    """doc_id and the ``outputs`` asked for: n_tokens, ids (array), decoded, ids_sha256, decoded_sha256."""
+    if Segmenter(model).whole:
+        return _encode_whole(docs, model, outputs)
+    blocks = written(cut_blocks(docs), "blocks")
+    return join_back(blocks, answer_chunks(blocks, model), outputs)
+
+
+def _encode_whole(docs: DataFrame, model: str, outputs: tuple[str, ...]) -> DataFrame:
+    """Text by text, for vocabularies whose pieces cross markers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sp = _segmenter(model).sp
+
+        def found(texts: list) -> Iterator[tuple[int, str, str]]:
+            for t in texts:
+                ids = sp.encode(t or "", num_threads=1)
+                yield len(ids), ",".join(map(str, ids)), sp.decode(ids)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model not in _workers:
-            _workers[model] = Segmenter(model)
-        segmenter = _workers[model]
         for batch in slices(batches):
-            found = [x for part in _slices([t or "" for t in batch.column(1).to_pylist()]) for x in segmenter.batch(part)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([make[k](x) for x in found], kinds[k]) for k in outputs)], ["doc_id", *outputs])
+            yield from _results(batch.column(0).to_pylist(), found(batch.column(1).to_pylist()), outputs)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, " + ", ".join(f"{k} {sql[k]}" for k in outputs))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{k} {SQL[k]}" for k in outputs))
