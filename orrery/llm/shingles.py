@@ -9,15 +9,17 @@ import numpy as np
 WIDTH = 5
 #: Odd multipliers, one for each word of a shingle (fixed values).
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Words whose hashes a worker keeps before it starts anew.
-_MOST = 300_000
+#: Words whose hashes a worker keeps before it starts anew; longer words are not kept.
+_MOST, _KEPT_BYTES = 300_000, 64
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MOST:
-            self.clear()
-        value = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= _KEPT_BYTES:
+            if len(self) >= _MOST:
+                self.clear()
+            self[word] = value
         return value
 
 

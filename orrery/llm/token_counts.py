@@ -2,7 +2,11 @@
 
 Tier one is a compact table of frequent pre-tokens and their lengths in tokens, of bounded size,
 broadcast to all workers.  Tier two is a cache in each worker: a pre-token that is in neither is
-encoded once by the library and kept.  No pre-token is ever shuffled.
+encoded once by the library and kept.
+
+The table comes from all documents: each task counts its words in a bounded table and sums it up in
+one packed row of its most frequent pre-tokens.  No pre-token is shuffled; where there are more than
+``FAN_IN`` tasks their rows, of bounded size, are merged by so many at a time before they reach the driver.
 
 Defined results: a null text counts as empty (0 tokens); a null ``doc_id`` stays null; repeated rows
 each get a result; an empty table gives an empty result; a special token's string inside a text is one
@@ -16,21 +20,28 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.arrow import slices
+from orrery.llm.packing import pack_numbers, pack_strings, unpack_numbers, unpack_strings
 from orrery.llm.vocab import resolve
+from orrery.session import release, written
 
 MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 #: The table has so many entries of so many characters at most: a few MB, whatever the corpus.
 TABLE_ENTRIES, ENTRY_CHARS = 65_536, 32
-#: Documents from which the table is filled.  It only decides which tier answers, never the answer.
-SAMPLE_DOCS = 3_000
-#: A worker's cache starts anew beyond so many entries.
-CACHE_ENTRIES = 400_000
+#: Words that a task counts side by side; beyond, the rarer half of them is forgotten.  What is counted only
+#: decides which tier answers, never the answer.
+COUNTED_WORDS = 200_000
+#: Pre-tokens that a task sums up its count in, and rows that are merged at a time.
+SUMMARY_ENTRIES, FAN_IN = 16_384, 32
+#: A worker's cache starts anew beyond so many entries; longer pre-tokens are not kept.
+CACHE_ENTRIES, CACHED_CHARS = 400_000, 128
 
 _SAFE = "".join(chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x2010, 0x2028), 0x20AC) if c not in (0xAD, 0x130))
 _kind = lambda k: "".join(re.escape(c) for c in _SAFE if unicodedata.category(c)[0] == k)
@@ -53,6 +64,8 @@ class Lengths(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(piece) > CACHED_CHARS:
+            return n
         if len(self) >= self.most:
             self.clear()
             self.update(self.table)
@@ -96,21 +109,55 @@ def _lengths(model: str, table: dict[str, int]) -> Lengths:
     return lengths
 
 
-def frequent_lengths(docs: DataFrame, model: str = MODEL, entries: int = TABLE_ENTRIES, sample_docs: int = SAMPLE_DOCS) -> dict[str, int]:
-    """The table of tier one, from a bounded sample in hash order."""
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct()
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+def _most_common(seen: Counter, entries: int) -> tuple[bytes, bytes]:
+    """The most frequent keys and their counts, packed; ties by key, so that the choice does not depend on order."""
+    top = sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:entries]
+    return pack_strings([k for k, _ in top]), pack_numbers(np.array([min(v, 2**32 - 1) for _, v in top], np.int64))
+
+
+def _sum(rows: list[dict]) -> Counter:
+    seen: Counter = Counter()
+    for r in rows:
+        for k, v in zip(unpack_strings(r["pieces"]), unpack_numbers(r["seen"]).tolist(), strict=True):
+            seen[k] += v
+    return seen
+
+
+def frequent_lengths(docs: DataFrame, model: str = MODEL, entries: int = TABLE_ENTRIES) -> dict[str, int]:
+    """The table of tier one: pre-token -> number of tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths, seen = _lengths(model, {}), Counter()
-        for batch in batches:
+        words: Counter = Counter()
+        for batch in slices(batches, 200):
+            some: Counter = Counter()
             for text in batch.column(0).to_pylist():
-                seen.update(lengths.pieces(text or ""))
-        top = [(k, v) for k, v in seen.most_common(entries) if len(k) <= ENTRY_CHARS]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in top], pa.string()), pa.array([lengths[k] for k, _ in top], pa.int32()), pa.array([v for _, v in top], pa.int64())], ["piece", "n", "seen"])
-
-    counted = sample.mapInArrow(count, "piece string, n int, seen long").groupBy("piece").agg(F.first("n").alias("n"), F.sum("seen").alias("seen"))
-    return {r["piece"]: r["n"] for r in counted.orderBy(F.desc("seen"), "piece").limit(entries).collect()}
+                some.update((text or "").split())  # pre-tokens end at white space, so words are counted first
+            for w, n in some.items():
+                if len(w) <= ENTRY_CHARS:
+                    words[w] += n
+            if len(words) > COUNTED_WORDS:
+                words = Counter(dict(words.most_common(COUNTED_WORDS // 2)))
+        lengths, seen = _lengths(model, {}), Counter()
+        for w, n in words.items():
+            for piece in lengths.pieces(w):
+                seen[piece] += n
+        context = TaskContext.get()
+        row = (context.partitionId() if context else 0, *_most_common(seen, min(entries, SUMMARY_ENTRIES)))
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["home", "pieces", "seen"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        return pa.table([pa.array([v], t) for v, t in zip((table.column("home")[0].as_py(), *_most_common(_sum(table.to_pylist()), min(entries, SUMMARY_ENTRIES))), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["home", "pieces", "seen"])
+
+    schema = "home long, pieces binary, seen binary"
+    sums = written(docs.select("text").mapInArrow(count, schema), "frequent")
+    while sums.count() > FAN_IN:
+        fewer = written(sums.withColumn("home", F.floor(F.col("home") / FAN_IN)).groupBy("home").applyInArrow(merge, schema), "frequent")
+        release(sums)
+        sums = fewer
+    seen = _sum([r.asDict() for r in sums.collect()])
+    release(sums)
+    lengths = Lengths(model)
+    return {k: lengths[k] for k, _ in sorted(seen.items(), key=lambda kv: (-kv[1], kv[0]))[:entries]}
 
 
 def count_tokens(docs: DataFrame, model: str = MODEL, limit: int = LIMIT, entries: int = TABLE_ENTRIES) -> DataFrame:
