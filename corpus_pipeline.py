@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.llm import line_dedup, mixing, ngram_join, pieces, toxicity
-from orrery.session import table, written
+from orrery.session import intermediate, release, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: The mixture: nine tenths of the tokens, each document once at most.
@@ -72,7 +72,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage")
+    """The rows of the last stage.  Of the tables on the way only those stay that this result, which is lazy, reads."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES[:-1]:
+        with intermediate() as keep:
+            after = written(stage(spark, docs, sf_dir), "stage")
+            keep(after)
+        if before is not None:
+            release(before)
+        docs = before = after
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,7 +10,7 @@ smallest doc_id that it reaches by links.  No link between different sets is los
    must occur elsewhere.  Both only count, for each document, shingles that another one has too.
 3. The sets left are dealt to blocks by hash.  A block builds inverted lists and answers queries by
    DivideSkip: short lists are merged by a heap, with skips, up to T - L occurrences; the L longest are
-   probed by binary search.
+   probed by binary search.  A block with many queries is searched by several tasks, each with its part of them.
 4. Queries, first round: for each shingle of the prefixes (rare shingles first) the smallest document
    asks the blocks of the others.  That links almost all copies, in as many rows as there are prefix
    shingles.  Second round: in lists whose documents are not all in one component yet, every document outside
@@ -31,18 +31,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.llm.arrow import slices
 from orrery.llm.shingles import fingerprint, shingle_set
 from orrery.operators.graph import connected_components
-from orrery.session import written
+from orrery.session import intermediate, release, written
 
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
-#: Shingles of one bucket of the filters and of one block of the search, about.
-BUCKET, BLOCK = 1 << 20, 1 << 20
+#: Shingles of one bucket of the filters, of one block of the search, and of the queries of one of its tasks, about.
+BUCKET, BLOCK, QUERIES = 1 << 20, 1 << 20, 1 << 20
 #: Sets whose shingles are sorted together before they are dealt out.
 DEALT_ROWS = 2_000
 #: Cost of a probe against that of a heap step in the choice of L.
@@ -185,7 +185,9 @@ def candidate_sets(docs: DataFrame, sigs: DataFrame, reps: DataFrame) -> DataFra
     total = sets.agg(F.sum("n")).first()[0]
     again = shared_counts(sets, "set", _buckets(total, BUCKET))
     kept = again.join(sets.select("node", "n"), "node").where(F.col("shared") >= F.ceil(F.col("n") * 0.8)).select("node").distinct()
-    return written(sets.join(kept.hint("shuffle_hash"), "node", "left_semi"), "candidates")
+    found = written(sets.join(kept.hint("shuffle_hash"), "node", "left_semi"), "candidates")
+    release(sets)
+    return found
 
 
 # ---------------------------------------------------------------- DivideSkip
@@ -261,19 +263,29 @@ class Lists:
 def search_blocks(sets: DataFrame, routes: DataFrame, blocks: int) -> DataFrame:
     """Links (a, b) that the queries of ``routes`` (node, block) find.
 
-    Rows of a block stand together, index first; queries stream past it, so a task holds one block and
-    one batch of queries, however many there are.
+    Every block that is asked gets a task for each ``QUERIES`` shingles of its queries, and each task is a
+    partition of its own: the index of the block first, then its part of the queries stream past, so a task
+    holds one block and one batch of queries, however many there are.
     """
-    index = sets.select(_block("node", blocks).alias("block"), F.lit(0).alias("kind"), "node", "set")
-    asked = routes.join(sets.select("node", "set"), "node").select("block", F.lit(1).alias("kind"), "node", "set")
+    routes = written(routes, "routes")
+    sized = routes.join(sets.select("node", "n"), "node").groupBy("block").agg(F.sum("n").alias("n"))
+    sized = sized.select("block", F.ceil(F.col("n") / QUERIES).cast("int").alias("parts"))
+    # a narrow row for each block: their tasks are numbered through
+    upto = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+    tasks = written(sized.select("block", "parts", (F.sum("parts").over(upto) - F.col("parts")).cast("int").alias("first")), "tasks")
+    total = tasks.agg(F.sum("parts")).first()[0] or 1
+    every = F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1)
+    index = sets.select(_block("node", blocks).alias("block"), "node", "set").join(tasks, "block").select(F.explode(every).alias("task"), F.lit(0).alias("kind"), "node", "set")
+    part = F.col("first") + F.pmod(F.xxhash64("node", F.lit(blocks)), F.col("parts")).cast("int")
+    asked = routes.join(tasks, "block").select(part.alias("task"), "node").join(sets.select("node", "set"), "node").select("task", F.lit(1).alias("kind"), "node", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, nodes, sets, lists = None, [], [], None
+        task, nodes, sets, lists = None, [], [], None
         for batch in slices(batches):
             a, b = [], []
             for at, kind, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if at != block:
-                    block, nodes, sets, lists = at, [], [], None
+                if at != task:
+                    task, nodes, sets, lists = at, [], [], None
                 tokens = np.frombuffer(data, np.uint64)
                 if kind == 0:
                     nodes.append(node)
@@ -287,7 +299,7 @@ def search_blocks(sets: DataFrame, routes: DataFrame, blocks: int) -> DataFrame:
                         b.append(lists.nodes[d])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    rows = index.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "kind")
+    rows = index.unionByName(asked).repartitionById(int(total), "task").sortWithinPartitions("task", "kind")
     return rows.mapInArrow(run, "a long, b long")
 
 
@@ -350,10 +362,12 @@ def links(sets: DataFrame, known: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs`` (doc_id, text)."""
-    sigs = written(signatures(docs), "signatures")
-    classes = written(sigs.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
-    sets = candidate_sets(docs, sigs, classes)
-    named = written(links(sets, written(same_ids(sigs, classes), "same_ids")), "named")
+    with intermediate() as keep:
+        sigs = written(signatures(docs), "signatures")
+        classes = written(sigs.where("doc_id IS NOT NULL AND n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep")), "classes")
+        sets = candidate_sets(docs, sigs, classes)
+        named = links(sets, written(same_ids(sigs, classes), "same_ids"))
+        keep(sigs, classes, named)
     slim = sigs.select("doc_id", "n", "f1", "f2")
     of_class = classes.join(named, classes["rep"] == named["node"], "left").select("f1", "f2", F.least("rep", F.coalesce("component", "rep")).alias("component"))
     joined = slim.join(of_class, ["f1", "f2"], "left")
