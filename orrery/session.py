@@ -53,16 +53,26 @@ def scratch(spark: SparkSession) -> str:
     return f"{checkpoint_root(spark)}/orrery-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None, parts: int = 1) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
+    ``by``: its rows are dealt to ``parts`` buckets by that column, so that what groups or joins by it later
+    needs no shuffle of this table.
+
     Cuts the lineage: what follows no longer depends on shuffle files or caches of any executor.
     The table stays until ``release`` or ``discard``, since results that read it are lazy.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    if by is None:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
+    else:
+        # buckets are known to the catalogue only; the DataFrame keeps them when the name is gone
+        name = f"orrery_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("path", path).bucketBy(parts, by).saveAsTable(name)
+        out = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")
     out._written_path = path
     if _open:
         _open[-1].append(out)
