@@ -5,10 +5,11 @@ segmentation never crosses those places.  Texts are cut there, each distinct chu
 corpus is segmented once, and its ids are joined back by position:
 
 1. A task cuts its texts, a block of them at a time.  A block is one row: the list of its distinct
-   chunks, and for each text the places of its chunks in that list.
+   chunks, frequent ones first, and for each text the places of its chunks in that list.
 2. The lists are dealt to buckets by the chunks' hashes.  A bucket segments each of its distinct chunks
    once and answers every block that has it.  Only a block's distinct chunks travel, never occurrences.
-3. Places and answers of a block meet; ids follow from the places.
+3. Answers go to the block's place, which is a bucket of its table; the blocks themselves are not shuffled.
+   Ids follow from the places.
 
 A block takes ``BLOCK_CHARS`` characters, or one longer text; a bucket about ``BUCKET_CHUNKS`` chunks,
 however large the corpus and its vocabulary are.  A vocabulary whose pieces do cross markers is
@@ -40,7 +41,7 @@ from orrery.session import written
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
 #: Characters of the texts that are cut together.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 20_000_000
 #: Chunks, of all blocks, that are answered together.
 BUCKET_CHUNKS = 400_000
 #: Texts of a batch of results.
@@ -68,6 +69,8 @@ class Segmenter:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=resolve(model))
         names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
+        #: decoded text of each id, but for bytes and what is unknown
+        self.plain = [None if self.sp.is_byte(i) or self.sp.is_unknown(i) or self.sp.is_control(i) else n.replace(MARK, " ") for i, n in enumerate(names)]
         self.whole = any(MARK in p.lstrip(MARK) or "\n" in p for p in names) or self.sp.encode("\n")[:-1] != self.sp.encode("\na")[:1]
 
     def chunks(self, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
@@ -119,7 +122,12 @@ def cut_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
         home = (context.partitionId() if context else 0) << 32
 
         def block(ids: list, sizes: list[int], places: array, at: dict[str, int]) -> pa.RecordBatch:
-            row = (home + number, ids, pack_numbers(np.array(sizes, np.int64)), pack_numbers(np.frombuffer(places, np.uint32)), pack_strings(list(at)), len(at))
+            seen = np.frombuffer(places, np.uint32)
+            often = np.argsort(-np.bincount(seen, minlength=len(at)), kind="stable")
+            rank = np.empty(len(at), np.uint32)
+            rank[often] = np.arange(len(at), dtype=np.uint32)
+            chunks = list(at)
+            row = (home + number, ids, pack_numbers(np.array(sizes, np.int64)), pack_numbers(rank[seen]), pack_strings([chunks[k] for k in often.tolist()]), len(at))
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], ["block", "doc_ids", "sizes", "places", "chunks", "n"])
 
@@ -162,12 +170,14 @@ def answer_chunks(blocks: DataFrame, model: str, bucket_chunks: int = BUCKET_CHU
         asked = [unpack_strings(data) for data in table.column("chunks").to_pylist()]
         names = list(dict.fromkeys(c for chunks in asked for c in chunks))
         ids, decoded = _segmenter(model).chunks(names)
+        plain = _segmenter(model).plain
+        same = [None not in (own := [plain[i] for i in x]) and "".join(own) == t for x, t in zip(ids, decoded, strict=True)]
         at = {c: k for k, c in enumerate(names)}
         rows = []
         for chunks in asked:
             own = [at[c] for c in chunks]
-            # most chunks are decoded to themselves; the others are sent along
-            odd = [k for k, (c, x) in enumerate(zip(chunks, own, strict=True)) if decoded[x] != c]
+            # most chunks are decoded to their pieces; what the others are decoded to is sent along
+            odd = [k for k, x in enumerate(own) if not same[x]]
             rows.append((pack_numbers(np.array([len(ids[x]) for x in own], np.int64)), pack_numbers(np.array([i for x in own for i in ids[x]], np.int64)), pack_numbers(np.array(odd, np.int64)), pack_strings([decoded[own[k]] for k in odd])))
         answers = [pa.array([r[k] for r in rows], pa.binary()) for k in range(4)]
         return pa.table([table.column("block"), table.column("places"), *answers], names=["block", "places", "sizes", "ids", "odd", "decoded"])
@@ -176,16 +186,18 @@ def answer_chunks(blocks: DataFrame, model: str, bucket_chunks: int = BUCKET_CHU
     return asked.groupBy("bucket").applyInArrow(segment, "block long, places binary, sizes binary, ids binary, odd binary, decoded binary")
 
 
-def join_back(blocks: DataFrame, answers: DataFrame, outputs: tuple[str, ...]) -> DataFrame:
+def join_back(blocks: DataFrame, answers: DataFrame, outputs: tuple[str, ...], model: str = MODEL) -> DataFrame:
     def join(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        plain = _segmenter(model).plain
+        names = list(map(str, range(len(plain))))
         for row in left.to_pylist():
-            chunks = unpack_strings(row["chunks"])
-            sizes, texts, decoded = [0] * len(chunks), [""] * len(chunks), chunks
+            sizes, texts, decoded = [0] * row["n"], [""] * row["n"], [""] * row["n"]
             for a in right.to_pylist():
-                places, n = unpack_numbers(a["places"]).tolist(), unpack_numbers(a["sizes"])
-                ids, ends = list(map(str, unpack_numbers(a["ids"]).tolist())), np.cumsum(n).tolist()
+                places, n, ids = unpack_numbers(a["places"]).tolist(), unpack_numbers(a["sizes"]), unpack_numbers(a["ids"]).tolist()
+                ends = np.cumsum(n).tolist()
                 for place, k, begin, end in zip(places, n.tolist(), [0, *ends], ends, strict=False):
-                    sizes[place], texts[place] = k, ",".join(ids[begin:end])
+                    own = ids[begin:end]
+                    sizes[place], texts[place], decoded[place] = k, ",".join([names[i] for i in own]), "".join([plain[i] or "" for i in own])
                 for k, text in zip(unpack_numbers(a["odd"]).tolist(), unpack_strings(a["decoded"]), strict=True):
                     decoded[places[k]] = text
             places = unpack_numbers(row["places"]).tolist()
@@ -201,15 +213,21 @@ def join_back(blocks: DataFrame, answers: DataFrame, outputs: tuple[str, ...]) -
         return pa.Table.from_batches(list(join(left, right)))
 
     schema = "doc_id long, " + ", ".join(f"{k} {SQL[k]}" for k in outputs)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(whole, schema)
+    return blocks.drop("chunks").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(whole, schema)
 
 
 def encode_texts(docs: DataFrame, model: str = MODEL, outputs: tuple[str, ...] = ("n_tokens", "ids", "decoded")) -> DataFrame:
     """doc_id and the ``outputs`` asked for: n_tokens, ids (array), decoded, ids_sha256, decoded_sha256."""
     if Segmenter(model).whole:
         return _encode_whole(docs, model, outputs)
-    blocks = written(cut_blocks(docs), "blocks")
-    return join_back(blocks, answer_chunks(blocks, model), outputs)
+    blocks = written_blocks(docs)
+    return join_back(blocks, answer_chunks(blocks, model), outputs, model)
+
+
+def written_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The blocks as a table in buckets, about two for each block."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return written(cut_blocks(docs, block_chars), "blocks", "block", max(1, -(-2 * chars // block_chars)))
 
 
 def _encode_whole(docs: DataFrame, model: str, outputs: tuple[str, ...]) -> DataFrame:

@@ -224,7 +224,7 @@ def test_pieces(spark, odd_rows, block, bucket):
     want = [(len(i), ",".join(map(str, i)), s.sp.decode(i)) for i in ids]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     outputs = ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256")
-    blocks = pieces.written(pieces.cut_blocks(d, block), "blocks")
+    blocks = pieces.written_blocks(d, block)
     assert blocks.count() > 3 or block > 900
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
     for rows in (pieces.join_back(blocks, pieces.answer_chunks(blocks, pieces.MODEL, bucket), outputs), pieces.encode_texts(d, outputs=outputs), pieces._encode_whole(d, pieces.MODEL, outputs)):
