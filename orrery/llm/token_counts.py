@@ -128,17 +128,15 @@ def frequent_lengths(docs: DataFrame, model: str = MODEL, entries: int = TABLE_E
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        for batch in slices(batches, 200):
-            some: Counter = Counter()
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
-                some.update((text or "").split())  # pre-tokens end at white space, so words are counted first
-            for w, n in some.items():
-                if len(w) <= ENTRY_CHARS:
-                    words[w] += n
+                words.update((text or "").split())  # pre-tokens end at white space, so words are counted first
             if len(words) > COUNTED_WORDS:
-                words = Counter(dict(words.most_common(COUNTED_WORDS // 2)))
+                words = Counter(dict(Counter({w: n for w, n in words.items() if len(w) <= ENTRY_CHARS}).most_common(COUNTED_WORDS // 2)))
         lengths, seen = _lengths(model, {}), Counter()
-        for w, n in words.items():
+        for w, n in words.most_common(COUNTED_WORDS // 2):
+            if len(w) > ENTRY_CHARS:
+                continue
             for piece in lengths.pieces(w):
                 seen[piece] += n
         context = TaskContext.get()
