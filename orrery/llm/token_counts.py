@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +36,9 @@ MODEL = "word_bpe_49k.json"
 LIMIT = 2048
 #: The table has so many entries of so many characters at most: a few MB, whatever the corpus.
 TABLE_ENTRIES, ENTRY_CHARS = 65_536, 32
-#: Words that a task counts side by side; beyond, the rarer half of them is forgotten.  What is counted only
-#: decides which tier answers, never the answer.
-COUNTED_WORDS = 200_000
+#: Words that a task keeps counting; rarer ones are forgotten now and then.  What is counted only decides which
+#: tier answers, never the answer.
+COUNTED_WORDS = 100_000
 #: Pre-tokens that a task sums up its count in, and rows that are merged at a time.
 SUMMARY_ENTRIES, FAN_IN = 16_384, 32
 #: A worker's cache starts anew beyond so many entries; longer pre-tokens are not kept.
@@ -123,22 +124,29 @@ def _sum(rows: list[dict]) -> Counter:
     return seen
 
 
+def _frequent(words: pa.Table | None, parts: list[pa.Table]) -> pa.Table:
+    """(w, n): the most frequent short words of all these counts; ties by word."""
+    every = pa.concat_tables([*([] if words is None else [words]), *parts, pa.table({"w": pa.array([], pa.string()), "n": pa.array([], pa.int64())})])
+    every = every.filter(pc.less_equal(pc.utf8_length(every["w"]), ENTRY_CHARS)).group_by("w").aggregate([("n", "sum")]).rename_columns(["w", "n"])
+    return every.sort_by([("n", "descending"), ("w", "ascending")]).slice(0, COUNTED_WORDS)
+
+
 def frequent_lengths(docs: DataFrame, model: str = MODEL, entries: int = TABLE_ENTRIES) -> dict[str, int]:
     """The table of tier one: pre-token -> number of tokens."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                words.update((text or "").split())  # pre-tokens end at white space, so words are counted first
-            if len(words) > COUNTED_WORDS:
-                words = Counter(dict(Counter({w: n for w, n in words.items() if len(w) <= ENTRY_CHARS}).most_common(COUNTED_WORDS // 2)))
+        words, parts, n = None, [], 0
+        for batch in slices(batches, 2_000):
+            # pre-tokens end at white space, so words are counted first
+            found = pc.value_counts(pc.list_flatten(pc.ascii_split_whitespace(batch.column(0))))
+            parts.append(pa.table({"w": found.field(0), "n": found.field(1)}))
+            n += len(found)
+            if n > 5 * COUNTED_WORDS:
+                words, parts, n = _frequent(words, parts), [], 0
         lengths, seen = _lengths(model, {}), Counter()
-        for w, n in words.most_common(COUNTED_WORDS // 2):
-            if len(w) > ENTRY_CHARS:
-                continue
+        for w, k in zip(*(c.to_pylist() for c in _frequent(words, parts).columns), strict=True):
             for piece in lengths.pieces(w):
-                seen[piece] += n
+                seen[piece] += k
         context = TaskContext.get()
         row = (context.partitionId() if context else 0, *_most_common(seen, min(entries, SUMMARY_ENTRIES)))
         yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["home", "pieces", "seen"])
