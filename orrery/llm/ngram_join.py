@@ -42,7 +42,7 @@ from orrery.session import intermediate, release, written
 #: Similarity as a fraction: 100 * intersection >= 80 * union.
 NUM, DEN = 80, 100
 #: Shingles of one bucket of the filters, of one block of the search, and of the queries of one of its tasks, about.
-BUCKET, BLOCK, QUERIES = 1 << 20, 1 << 20, 1 << 20
+BUCKET, BLOCK, QUERIES = 1 << 19, 1 << 19, 1 << 20
 #: Sets whose shingles are sorted together before they are dealt out.
 DEALT_ROWS = 2_000
 #: Cost of a probe against that of a heap step in the choice of L.
