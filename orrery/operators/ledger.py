@@ -6,19 +6,25 @@ anything takes effect.  Mass data (observations, decisions) comes as whole table
 its rows stay in Parquet under the version that a manifest publishes.  What the driver holds is the
 control state: a few hundred bytes for each identity or decision that control commands name, none for a
 row of mass data.
+
+Every attempt to commit tables writes folders of its own, which only the manifest names: a writer that
+loses its version touches nothing of the winner's.  Nothing that was committed is ever rewritten; a revert is one
+more version, at which the decisions of what it reverts end.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.operators import versions
 from orrery.session import written
-from orrery.sources.kv import Backend, KeyExists, MemoryBackend, key_version, version_key
+from orrery.sources.kv import Backend, KeyExists, MemoryBackend, document, key_version, version_key
 
 ACTIVE, DORMANT, RESOLVED, MERGED, RETIRED = "Active", "Dormant", "Resolved", "Merged", "Retired"
 LAST_VERSION = 2**63 - 1
@@ -82,7 +88,7 @@ class Classes:
 @dataclass
 class State:
     version: int = 0
-    observations: dict[int, int] = field(default_factory=dict)
+    observations: dict[int, dict] = field(default_factory=dict)
     inferences: dict[int, int] = field(default_factory=dict)
     decisions: dict[int, dict] = field(default_factory=dict)
     current: dict[int, int] = field(default_factory=dict)
@@ -135,7 +141,7 @@ class State:
 
     def apply(self, e: Envelope) -> int:
         v = self.version + 1
-        self.transactions[e.txn] = {"version": v, "active": True, "decisions": [], "merges": [], "outbox": [], "issued_at": e.issued_at}
+        self._open(e.txn, v, e.issued_at)
         for c in e.commands:
             getattr(self, f"_{c['kind']}")(c, v, e.txn)
         for d in e.depends_on:
@@ -144,8 +150,21 @@ class State:
         self.version = v
         return v
 
+    def publish(self, doc: dict) -> int:
+        """The effect of a manifest that names tables."""
+        self._open(doc["txn"], doc["version"], doc["issued_at"])
+        self.transactions[doc["txn"]]["tables"] = doc["tables"]
+        for d in doc["depends_on"]:
+            self.dependents.setdefault(d, []).append(doc["txn"])
+        self.keys[doc["key"]] = (doc["digest"], doc["version"])
+        self.version = doc["version"]
+        return self.version
+
+    def _open(self, txn: int, v: int, issued_at: int) -> None:
+        self.transactions[txn] = {"version": v, "active": True, "ended": None, "decisions": [], "merges": [], "outbox": [], "issued_at": issued_at}
+
     def _PersistObservation(self, c: dict, v: int, txn: int) -> None:
-        self.observations[c["id"]] = v
+        self.observations[c["id"]] = {"version": v, "event_time": c.get("event_time"), "content_hash": c.get("content_hash"), "supersedes": c.get("supersedes")}
 
     def _CommitResolution(self, c: dict, v: int, txn: int) -> None:
         i, d = c["inference"], c["decision"]
@@ -204,7 +223,7 @@ class State:
             record = self.transactions[t]
             if not record["active"]:
                 continue
-            record["active"] = False
+            record["active"], record["ended"] = False, v
             for d in record["decisions"]:
                 row = self.decisions[d]
                 row["end"] = v if row["end"] is None else min(row["end"], v)
@@ -276,7 +295,8 @@ class _Pending:
         if d["inference"] != i["id"] or begins != (self.base.version + 1,) * 2 or i.get("end") is not None or d.get("end") is not None:
             return "InvalidLineage"
         providers = i.get("providers") or ()
-        if not providers or any(not p.get("version") for p in providers) or not i.get("solver_version", 1):
+        named = all(p.get(k) for p in providers for k in ("id", "schema", "version", "calibration"))
+        if not providers or not named or not all((i.get("solver_version"), d.get("policy_version"), d.get("loss_version"))):
             return "IncompleteProvenance"
         if (d["action"] == "new") != (created is not None):
             return "InvalidCreation"
@@ -336,7 +356,14 @@ class _Pending:
         return None
 
     def check_Split(self, c: dict) -> str | None:
-        if len(c["partitions"]) < 2 or any(m not in self.base.merges or self.base.merges[m]["end"] is not None for m in c["merges"]):
+        # a complete split: two parts at least, each with evidence, and nothing in two of them
+        if len(c["partitions"]) < 2 or not all(p.get("identities") and p.get("observations") for p in c["partitions"]):
+            return "IncompleteSplit"
+        for kind in ("identities", "observations"):
+            named = [x for p in c["partitions"] for x in p[kind]]
+            if len(set(named)) < len(named):
+                return "OverlappingSplit"
+        if any(m not in self.base.merges or self.base.merges[m]["end"] is not None for m in c["merges"]):
             return "InvalidSplit"
         for p in c["partitions"]:
             for i in p["identities"]:
@@ -380,9 +407,9 @@ class Ledger:
         for n, (key, raw) in enumerate(self.backend.scan("commits/"), 1):
             if key_version(key) != n:
                 raise LedgerError("VersionGap")
-            doc = json.loads(raw)
+            doc = document(key, raw)
             if doc.get("tables"):
-                self._publish(doc)
+                self.state.publish(doc)
                 continue
             e = Envelope(doc["txn"], doc["expected"], doc["key"], doc["issued_at"], tuple(doc["commands"]), tuple(doc["depends_on"]))
             self.state.validate(e)
@@ -404,56 +431,178 @@ class Ledger:
             raise LedgerError("VersionConflict") from x
         return Commit(self.state.apply(e), False)
 
-    def commit_tables(self, root: str, tables: dict[str, DataFrame], txn: int, key: str, issued_at: int) -> Commit:
-        """Publish whole tables as one version: write their rows, then the manifest that names them."""
+    def replayed(self, key: str, digest: str) -> int | None:
+        """The version that this key committed before; a collision if that was something else."""
+        if key not in self.state.keys:
+            return None
+        old, version = self.state.keys[key]
+        if old != digest:
+            raise LedgerError("IdempotencyCollision")
+        return version
+
+    def commit_tables(self, root: str, tables: dict[str, DataFrame], txn: int, key: str, issued_at: int, depends_on: tuple[int, ...] = (), digest: str | None = None) -> Commit:
+        """Publish whole tables as one version: write their rows, then the manifest that names them.
+
+        ``digest`` stands for the content; without one the rows themselves are summed up.
+        """
         if key in self.state.keys:
-            return Commit(self.state.keys[key][1], True)
+            return Commit(self.replayed(key, digest or content_digest(tables)), True)
         if txn in self.state.transactions:
             raise LedgerError("DuplicateTransaction")
-        v, paths = self.version + 1, {}
+        if self.version >= LAST_VERSION:
+            raise LedgerError("VersionExhausted")
+        if any(not self.state.transactions.get(d, {}).get("active") for d in depends_on):
+            raise LedgerError("MissingDependency")
+        v, paths, attempt = self.version + 1, {}, uuid.uuid4().hex
         for name, df in tables.items():
-            paths[name] = f"{root.rstrip('/')}/{name}/{txn}"
-            df.withColumn("version", F.lit(v)).write.mode("overwrite").parquet(paths[name])
-        doc = {"txn": txn, "key": key, "issued_at": issued_at, "tables": paths, "version": v}
+            paths[name] = f"{root.rstrip('/')}/{name}/{v:020d}-{attempt}"
+            df.withColumn("version", F.lit(v).cast("long")).write.parquet(paths[name])
+        if digest is None:
+            digest = content_digest({name: tables[name].sparkSession.read.parquet(path).drop("version") for name, path in paths.items()})
+        doc = {"txn": txn, "key": key, "issued_at": issued_at, "tables": paths, "version": v, "depends_on": list(depends_on), "digest": digest}
         try:
             self.backend.apply({version_key(v): json.dumps(doc).encode()}, exclusive=True)
         except KeyExists as x:
+            for name, path in paths.items():
+                _remove(tables[name].sparkSession, path)
             raise LedgerError("VersionConflict") from x
-        self._publish(doc)
-        return Commit(v, False)
-
-    def _publish(self, doc: dict) -> None:
-        self.state.version = doc["version"]
-        self.state.transactions[doc["txn"]] = {"version": doc["version"], "active": True, "decisions": [], "merges": [], "outbox": [], "issued_at": doc["issued_at"], "tables": doc["tables"]}
-        self.state.keys[doc["key"]] = ("tables", doc["version"])
+        return Commit(self.state.publish(doc), False)
 
-    # ------------------------------------------------------------ reads
+    # ------------------------------------------------------------ reads of control state
 
     def canonical(self, identity: int) -> int | None:
         return self.state.classes.find(identity) if identity in self.state.classes.parent else None
 
-    def current_decision(self, observation: int) -> dict | None:
-        d = self.state.current.get(observation)
-        return None if d is None else {"id": d} | self.state.decisions[d]
-
-    def decision_as_of(self, observation: int, version: int) -> dict | None:
-        return next(({"id": k} | d for k, d in self.state.decisions.items() if d["observation"] == observation and d["begin"] <= version and (d["end"] is None or version < d["end"])), None)
-
     def dependency_closure(self, txn: int) -> list[int]:
         return self.state.closure(txn)
 
-    def table(self, spark: SparkSession, name: str, version: int | None = None) -> DataFrame | None:
-        """All rows of a bulk table up to ``version``: a scan of the published folders, nothing else."""
-        paths = [t["tables"][name] for t in self.state.transactions.values() if name in t.get("tables", {}) and t["active"] and (version is None or t["version"] <= version)]
-        return spark.read.parquet(*paths) if paths else None
+    # ------------------------------------------------------------ reads of either kind
+
+    def table(self, spark: SparkSession, name: str, version: int | None = None, live: bool = False, only: int | None = None) -> DataFrame | None:
+        """All rows of a table up to ``version``: a scan of the published folders, nothing else.
+
+        Evidence stays whatever is reverted.  ``live``: without the transactions that were reverted by then.
+        ``only``: the rows of that one version.  Folders that ``compact`` has put together are read as one.
+        """
+        upto = self.version if version is None else version
+        folders = {t["version"]: t["tables"][name] for t in self.state.transactions.values() if name in t.get("tables", {})}
+        gone = {t["version"] for t in self.state.transactions.values() if t["ended"] is not None and t["ended"] <= upto} if live else set()
+        wanted = {v for v in folders if (v == only if only is not None else v <= upto) and v not in gone}
+        if not wanted:
+            return None
+        paths = set()
+        for key, raw in self.backend.scan(f"compacted/{name}/"):
+            # one folder of all versions up to its own
+            if key_version(key) in folders and any(v <= key_version(key) for v in wanted):
+                paths = {document(key, raw)["path"]} | {folders[v] for v in wanted if v > key_version(key)}
+        df = spark.read.parquet(*sorted(paths or {folders[v] for v in wanted}))
+        if only is not None:
+            return df.where(F.col("version") == only)
+        return df.where(F.col("version") <= upto).where(~F.col("version").isin(sorted(gone)) if gone else F.lit(True))
+
+    def compact(self, spark: SparkSession, root: str, name: str, files: int | None = None) -> None:
+        """Write a table's versions so far into one folder that reads prefer; the old folders stay for open readers."""
+        df = self.table(spark, name)
+        last = max((t["version"] for t in self.state.transactions.values() if name in t.get("tables", {})), default=None)
+        if df is None:
+            return
+        path = f"{root.rstrip('/')}/{name}/compacted-{last:020d}-{uuid.uuid4().hex}"
+        (df if files is None else df.repartition(files)).write.parquet(path)
+        self.backend.apply({f"compacted/{name}/{last:020d}.json": json.dumps({"path": path}).encode()})
+
+    def decisions(self, spark: SparkSession, observation: int | None = None) -> DataFrame:
+        """decision_id, observation_id, action, identity_id, version, ended of all decisions ever made.
+
+        ``ended``: the version that reverted it, if one did.  Decisions of control commands and of tables are one
+        history; ``versions`` has the reads of it.
+        """
+        schema = "decision_id long, observation_id long, action string, identity_id long, version long, ended long"
+        ends = {t["version"]: t["ended"] for t in self.state.transactions.values() if t["ended"] is not None}
+        of_txn = {d: t for t in self.state.transactions.values() for d in t["decisions"]}
+        rows = [
+            (k, d["observation"], d["action"], d["target"] if isinstance(d["target"], int) else None, d["begin"], of_txn[k]["ended"])
+            for k, d in self.state.decisions.items()
+            if observation is None or d["observation"] == observation
+        ]
+        few = spark.createDataFrame(rows, schema)
+        bulk = self.table(spark, "decisions")
+        if bulk is None:
+            return few
+        if observation is not None:
+            bulk = bulk.where(F.col("observation_id") == observation)
+        ended = spark.createDataFrame(sorted(ends.items()), "version long, ended long")
+        bulk = bulk.select("decision_id", "observation_id", "action", "identity_id", "version").join(F.broadcast(ended), "version", "left")
+        return bulk.select(*few.columns).unionByName(few)
+
+    def _session(self, spark: SparkSession | None) -> SparkSession | None:
+        """A session, where there are tables to be read."""
+        if not any(t.get("tables") for t in self.state.transactions.values()):
+            return None
+        return spark or SparkSession.getActiveSession()
+
+    def current_decision(self, observation: int, spark: SparkSession | None = None) -> dict | None:
+        session = self._session(spark)
+        if session is None:
+            d = self.state.current.get(observation)
+            return None if d is None else {"id": d} | self.state.decisions[d]
+        return _one(versions.current(self.decisions(session, observation)).withColumn("valid_to", F.lit(None).cast("long")))
+
+    def decision_as_of(self, observation: int, version: int, spark: SparkSession | None = None) -> dict | None:
+        session = self._session(spark)
+        if session is None:
+            return next(({"id": k} | d for k, d in self.state.decisions.items() if d["observation"] == observation and d["begin"] <= version and (d["end"] is None or version < d["end"])), None)
+        asked = session.createDataFrame([(observation, version)], "observation_id long, as_of long")
+        return _one(versions.as_of(self.decisions(session, observation), asked))
+
+    def observation(self, observation: int, spark: SparkSession | None = None) -> dict | None:
+        """One piece of evidence with the version that committed it."""
+        if observation in self.state.observations:
+            return {"id": observation} | self.state.observations[observation]
+        session = self._session(spark)
+        table = None if session is None else self.table(session, "observations")
+        row = None if table is None else table.where(F.col("observation_id") == observation).first()
+        return None if row is None else {"id": observation} | {k: v for k, v in row.asDict().items() if k != "observation_id"}
+
+    def observations_as_of(self, spark: SparkSession, event_time: int, version: int) -> DataFrame:
+        """observation_id, event_time, version of evidence by both clocks, in the order of ids."""
+        schema = "observation_id long, event_time long, version long"
+        rows = spark.createDataFrame([(k, o["event_time"], o["version"]) for k, o in self.state.observations.items()], schema)
+        bulk = self.table(spark, "observations", version)
+        if bulk is not None:
+            rows = rows.unionByName(bulk.select("observation_id", "event_time", "version"))
+        return versions.observations_as_of(rows, event_time, version)
+
+
+def _one(found: DataFrame) -> dict | None:
+    r = found.first()
+    return None if r is None else {"id": r["decision_id"], "observation": r["observation_id"], "action": r["action"], "target": r["identity_id"], "begin": r["version"], "end": r["valid_to"]}
+
+
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def row_digest(df: DataFrame, *columns: str) -> str:
+    """Stands for the rows of a table, whatever their order: their number and the sum of their hashes."""
+    n, total = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*(columns or sorted(df.columns))).cast("decimal(38,0)"))).first()
+    return f"{n}:{total or 0}"
+
+
+def content_digest(tables: dict[str, DataFrame]) -> str:
+    return hashlib.sha256(json.dumps({name: [sorted(df.columns), row_digest(df)] for name, df in sorted(tables.items())}).encode()).hexdigest()
 
 
 def new_observations(fresh: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(to add, rejected) of mass evidence, by joins.
 
     The same id with the same hash is an idempotent repetition and is left out silently; with another
-    hash it is rejected, as is a reference to an observation that neither table has.
+    hash it is rejected, as is a reference to an observation that neither table has.  Of the known evidence
+    only ids between the smallest and the largest that the batch names are read.
     """
+    if known is not None:
+        low, high = fresh.agg(F.min(F.least("observation_id", "supersedes")), F.max(F.greatest("observation_id", "supersedes"))).first()
+        known = known.where(F.col("observation_id").between(F.lit(low), F.lit(high)))
     one = fresh.dropDuplicates(["observation_id", "content_hash"])
     twice = one.groupBy("observation_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("observation_id")
     bad = one.join(twice, "observation_id", "left_semi").withColumn("error", F.lit("ImmutableObservation"))

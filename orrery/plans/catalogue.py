@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import checks, geo, metrics
-from orrery.operators import candidates, decide, factors, graph, infer
+from orrery.operators import candidates, decide, factors, graph, infer, versions
 from orrery.plans import adapters
 from orrery.session import table, written
 
@@ -339,45 +339,31 @@ def loopy_posterior(spark, sf_dir):
 # ---------------------------------------------------------------- versioned reads
 
 
-def _intervals(d: DataFrame) -> DataFrame:
-    """Validity of decisions: from their version to that of the next on the same observation."""
-    w = Window.partitionBy("observation_id").orderBy("version")
-    return d.withColumn("valid_to", F.lead("version").over(w))
-
-
 @query("""
 WITH d AS (SELECT o_orderkey AS decision_id, o_custkey AS observation_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS version FROM orders),
 i AS (SELECT *, lead(version) OVER (PARTITION BY observation_id ORDER BY version) AS valid_to FROM d)
 SELECT c_custkey AS observation_id, c_custkey % 12 + 1 AS as_of, decision_id FROM customer JOIN i ON c_custkey = observation_id AND version <= c_custkey % 12 + 1 AND (valid_to IS NULL OR c_custkey % 12 + 1 < valid_to)""")
 def decision_as_of(spark, sf_dir):
-    i = _intervals(adapters.decisions(spark, sf_dir))
     asked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("observation_id"), (F.col("c_custkey") % 12 + 1).alias("as_of"))
-    return asked.join(i, "observation_id").where(checks.contains(F.col("version"), F.col("valid_to"), F.col("as_of"))).select("observation_id", "as_of", "decision_id")
+    return versions.as_of(adapters.decisions(spark, sf_dir), asked).select("observation_id", "as_of", "decision_id")
 
 
 @query("SELECT o_custkey AS observation_id, max(o_orderkey) AS decision_id, count(*) AS version FROM orders GROUP BY 1")
 def current_decision(spark, sf_dir):
-    d = adapters.decisions(spark, sf_dir)
-    best = d.groupBy("observation_id").agg(F.max(F.struct("version", "decision_id")).alias("b"))
-    return best.select("observation_id", F.col("b.decision_id").alias("decision_id"), F.col("b.version").alias("version"))
+    return versions.current(adapters.decisions(spark, sf_dir).select("observation_id", "version", "decision_id")).select("observation_id", "decision_id", "version")
 
 
 @query("""SELECT event_id AS observation_id, epoch_us(ts) AS event_time, event_id // 1000 + 1 AS version FROM events
 WHERE epoch_us(ts) <= 1705500000000000 AND event_id // 1000 + 1 <= 6 ORDER BY 1""")
 def observations_as_of(spark, sf_dir):
-    o = adapters.observations(spark, sf_dir)
-    return o.where((F.col("event_time") <= 1705500000000000) & (F.col("version") <= 6)).select("observation_id", "event_time", "version").orderBy("observation_id")
+    return versions.observations_as_of(adapters.observations(spark, sf_dir).select("observation_id", "event_time", "version"), 1705500000000000, 6)
 
 
 @query("""WITH v AS (SELECT event_id // 1000 + 1 AS version, count(*) AS commands FROM events GROUP BY 1)
 SELECT version, commands, version = row_number() OVER (ORDER BY version) AS contiguous, version = (SELECT max(version) FROM v) AS latest FROM v""")
 def ledger_replay_contiguity(spark, sf_dir):
-    v = adapters.observations(spark, sf_dir).groupBy("version").agg(F.count(F.lit(1)).alias("commands"))
-    last = v.agg(F.max("version").alias("m"))
-    # one row for each commit; a version is in place if the one before it exists
-    before = v.select((F.col("version") + 1).alias("version"), F.lit(True).alias("has"))
-    x = v.join(before, "version", "left").join(F.broadcast(last), F.lit(True))
-    return x.select("version", "commands", (F.coalesce("has", F.lit(False)) | (F.col("version") == 1)).alias("contiguous"), (F.col("version") == F.col("m")).alias("latest"))
+    # one row for each commit
+    return versions.contiguous(adapters.observations(spark, sf_dir).groupBy("version").agg(F.count(F.lit(1)).alias("commands")))
 
 
 # ---------------------------------------------------------------- merges, splits, dependencies
@@ -479,6 +465,7 @@ o AS (SELECT v.seq, v.mid, v.target, CASE WHEN p.seq IS NOT NULL AND v.seq = p.s
 
 
 def _host(spark, sf_dir):
+    """Two batches one after the other: the second half of the events finds the edges of the first."""
     from orrery.operators import hostgraph
 
     e = table(spark, sf_dir, "events")
@@ -486,7 +473,9 @@ def _host(spark, sf_dir):
     sources = e.where("user_id % 50 <> 0").select(F.col("user_id").alias("node")).distinct()
     targets = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"))
     nodes = sources.withColumn("kind", F.lit("Event")).unionByName(targets.withColumn("kind", F.lit("Physical")))
-    return hostgraph.materialize(requests, nodes)
+    middle = e.agg(F.floor((F.min("event_id") + F.max("event_id")) / 2)).first()[0] or 0
+    one = written(hostgraph.materialize(requests.where(F.col("seq") <= middle), nodes), "batch")
+    return one.unionByName(hostgraph.materialize(requests.where(F.col("seq") > middle), nodes, hostgraph.inserted(one)))
 
 
 @query(f"WITH {_HOST} SELECT seq, mid AS materialization_id, outcome FROM o")
@@ -664,7 +653,12 @@ def stream_eviction(spark, sf_dir):
     return gone.withColumn("evicted", F.lit(True)).unionByName(kept.withColumn("evicted", F.lit(False)))
 
 
-@query()
+@query(f"""WITH {_GATED}, kept AS (SELECT * FROM events e WHERE event_id % 10 <> 9 OR EXISTS (SELECT 1 FROM events x WHERE x.event_id = e.event_id - 9)),
+s AS (SELECT g.observation_id, 0 AS k, g.identity_id, -abs(value - 2 * g.identity_id) / 20 AS score FROM gated g JOIN kept ON event_id = g.observation_id WHERE g.identity_id IS NOT NULL
+  UNION ALL SELECT event_id, 1, NULL, -1.0 FROM kept UNION ALL SELECT event_id, 2, NULL, -2.0 FROM kept),
+p AS (SELECT *, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY observation_id) AS p FROM (SELECT *, max(score) OVER (PARTITION BY observation_id) AS m FROM s)),
+r AS (SELECT observation_id, CASE k WHEN 0 THEN 'assign' WHEN 1 THEN 'new' ELSE 'noise' END AS action, identity_id, round({LOSSES.false_assign} * (1 - p), 9) AS risk, CASE k WHEN 1 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS tie FROM p)
+SELECT observation_id, action, identity_id FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY risk, tie, coalesce(identity_id, -1)) AS n FROM r) WHERE n = 1""")
 def stream_resolve(spark, sf_dir):
     """Events come as a stream of files; every micro-batch is resolved and committed to a ledger."""
     from orrery.streaming import resolve

@@ -21,7 +21,8 @@ def workspace_from_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> D
     """identity_id, n, last_activation after all events.
 
     Stateful aggregation without a watermark: evidence that comes late still counts, since neither clock
-    may drop it.  Each micro-batch replaces the table of its batch id, so a repeated batch changes nothing.
+    may drop it.  A micro-batch writes only the identities that it changed, as the table of its batch id, so a
+    repeated batch changes nothing; of each identity the last batch holds.
     """
     root = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     table(spark, sf_dir, "events").repartition(parts).write.parquet(f"{root}/in")
@@ -31,11 +32,11 @@ def workspace_from_stream(spark: SparkSession, sf_dir: str, parts: int = 4) -> D
     def put(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
 
-    q = state.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    q = state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     out = spark.read.parquet(f"{root}/out")
-    last = out.agg(F.max("batch").alias("batch"))
-    return out.join(F.broadcast(last), "batch", "left_semi").select("identity_id", "n", "last_activation")
+    last = out.groupBy("identity_id").agg(F.max(F.struct("batch", "n", "last_activation")).alias("l"))
+    return last.select("identity_id", "l.n", "l.last_activation")
 
 
 class ValueProvider:

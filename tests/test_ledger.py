@@ -26,7 +26,7 @@ def seen(i, **more):
 
 
 def resolution(n, observation, action="noise", target=None, created=None):
-    return {"kind": "CommitResolution", "inference": {"id": n, "observation": observation, "providers": [{"id": 1, "version": 1}]}, "decision": {"id": n, "inference": n, "action": action, "target": target}, "created_identity": created}
+    return {"kind": "CommitResolution", "inference": {"id": n, "observation": observation, "providers": [{"id": 1, "schema": 1, "version": 1, "calibration": 1}], "solver_version": 1}, "decision": {"id": n, "inference": n, "action": action, "target": target, "policy_version": 1, "loss_version": 1}, "created_identity": created}
 
 
 def life(kind, i, **more):
@@ -72,23 +72,34 @@ def test_resolutions_and_as_of():
     fails("DuplicateIdentity", b, resolution(13, 1, "new", created=5))
     fails("InvalidCreation", b, resolution(13, 1, "new"))
     fails("MissingIdentity", b, resolution(13, 1, "assign", target=99))
-    bare = resolution(13, 1)
-    bare["inference"]["providers"] = []
-    fails("IncompleteProvenance", b, bare)
+    for record, name, value in (("inference", "providers", []), ("inference", "solver_version", 0), ("decision", "policy_version", None), ("decision", "loss_version", 0)):
+        bare = resolution(13, 1)
+        bare[record][name] = value
+        fails("IncompleteProvenance", b, bare)
+    for name in ("id", "schema", "version", "calibration"):
+        bare = resolution(13, 1)
+        bare["inference"]["providers"][0][name] = 0
+        fails("IncompleteProvenance", b, bare)
     b(life("Retire", 5), txn=90)
     fails("InvalidAssignment", b, resolution(13, 1, "assign", target=5))
 
 
 def test_merge_split_revert():
     b = Book()
-    b(life("CreateIdentity", 9), life("CreateIdentity", 3), seen(1))
+    b(life("CreateIdentity", 9), life("CreateIdentity", 3), seen(1), seen(2))
     b({"kind": "Merge", "decision": 10, "left": 9, "right": 3})
     assert b.ledger.canonical(9) == 3 and b.ledger.state.statuses == {9: "Merged", 3: "Active"}
     fails("InvalidMerge", b, {"kind": "Merge", "decision": 10, "left": 9, "right": 3})
     fails("InvalidMerge", b, {"kind": "Merge", "decision": 12, "left": 9, "right": 9})
-    b({"kind": "Split", "merges": [10], "partitions": [{"identities": [9], "observations": [1]}, {"identities": [3]}]}, txn=60)
+    b({"kind": "Split", "merges": [10], "partitions": [{"identities": [9], "observations": [1]}, {"identities": [3], "observations": [2]}]}, txn=60)
     assert b.ledger.canonical(9) == 9 and b.ledger.state.statuses == {9: "Active", 3: "Active"}
-    fails("InvalidSplit", b, {"kind": "Split", "merges": [10], "partitions": [{"identities": [9]}, {"identities": [3]}]})
+    part = lambda i, *o: {"identities": [i], "observations": list(o)}
+    split = lambda *parts: {"kind": "Split", "merges": [10], "partitions": list(parts)}
+    fails("InvalidSplit", b, split(part(9, 1), part(3, 2)))  # that merge is closed by now
+    fails("IncompleteSplit", b, split(part(9, 1)))
+    fails("IncompleteSplit", b, split(part(9, 1), part(3)))
+    fails("OverlappingSplit", b, split(part(9, 1), part(9, 2)))
+    fails("OverlappingSplit", b, split(part(9, 1), part(3, 1)))
     b({"kind": "Merge", "decision": 11, "left": 3, "right": 9}, txn=70)
     b({"kind": "Revert", "target": 70, "mode": "Strict"}, txn=71)
     # the class splits, the status stays
