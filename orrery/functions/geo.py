@@ -58,29 +58,36 @@ def covariance2d_error(xx: Column, xy: Column, yy: Column) -> Column:
     return _first((~(finite(xx) & finite(xy) & finite(yy)), "NonFiniteCovariance"), ((xx < 0) | (yy < 0), "NegativeVariance"), (F.abs(xy) > limit * (1 + 64 * EPSILON), "CorrelationRange"))
 
 
+def mean2d_error(x: Column, y: Column) -> Column:
+    return _first((~(finite(x) & finite(y)), "NonFiniteMean"))
+
+
 def gaussian_log_likelihood(df: DataFrame, dx: Column, dy: Column, xx: Column, xy: Column, yy: Column, into: str = "ll") -> DataFrame:
     """``df`` with -q / 2 of the Mahalanobis form of a mean difference under a summed covariance.
 
-    Equal means give 0 even under a singular covariance, which otherwise gives minus infinity; a
-    covariance that is not positive semi-definite is null.  Covariance and difference are brought to
-    scale 1 first, so that neither overflows.  Steps are projections of their own, so that none is
-    computed more than once a row.
+    The covariance is factored by Cholesky, the larger variance s first: with r = xy / s and the rest
+    t = (smaller variance) / s - r^2, a difference (g, h) in units of sqrt(s), in that order of axes, has
+    q = g^2 + (h - r g)^2 / t.  Dividing by s first keeps all of it near 1.  Fixed results: a covariance that is not
+    finite or not positive semi-definite is null, a difference that is not finite is minus infinity, equal
+    means are 0 even under a singular covariance, which otherwise is minus infinity, and so is a q that
+    overflows.  Steps are projections of their own, so that none is computed more than once a row.
     """
     c = F.col
-    x = df.select("*", F.struct(dx.alias("dx"), dy.alias("dy"), xx.alias("xx"), xy.alias("xy"), yy.alias("yy")).alias("_g"))
-    x = x.withColumn("_scale", F.greatest(F.abs("_g.xx"), F.abs("_g.xy"), F.abs("_g.yy"))).withColumn("_step", F.greatest(F.abs("_g.dx"), F.abs("_g.dy")))
-    x = x.withColumn("_n", F.struct((c("_g.xx") / F.nullif(c("_scale"), F.lit(0.0))).alias("a"), (c("_g.xy") / F.nullif(c("_scale"), F.lit(0.0))).alias("b"), (c("_g.yy") / F.nullif(c("_scale"), F.lit(0.0))).alias("c"), (c("_g.dx") / F.nullif(c("_step"), F.lit(0.0))).alias("u"), (c("_g.dy") / F.nullif(c("_step"), F.lit(0.0))).alias("v")))
-    a, b, d, u, v = (c(f"_n.{k}") for k in "abcuv")
-    x = x.withColumn("_det", a * d - b * b).withColumn("_form", d * u * u - 2 * b * u * v + a * v * v)
-    x = x.withColumn("_q", (c("_step") / F.nullif(F.sqrt("_scale"), F.lit(0.0))) * (c("_step") / F.nullif(F.sqrt("_scale"), F.lit(0.0))) * F.greatest(c("_form"), F.lit(0.0)) / F.nullif(c("_det"), F.lit(0.0)))
+    swap = c("_in.yy") > c("_in.xx")
+    either = lambda first, second: F.when(swap, c(f"_in.{second}")).otherwise(c(f"_in.{first}"))
+    x = df.withColumn("_in", F.struct(dx.alias("dx"), dy.alias("dy"), xx.alias("xx"), xy.alias("xy"), yy.alias("yy")))
+    x = x.withColumn("_in", F.struct("_in.xy", F.greatest("_in.xx", "_in.yy").alias("s"), F.least("_in.xx", "_in.yy").alias("small"), either("dx", "dy").alias("g"), either("dy", "dx").alias("h")))
+    unit = F.sqrt("_in.s")
+    x = x.withColumn("_r", F.when(c("_in.s") > 0, c("_in.xy") / c("_in.s")).otherwise(F.lit(0.0)))
+    x = x.withColumn("_t", F.when(c("_in.s") > 0, c("_in.small") / c("_in.s") - c("_r") * c("_r")).otherwise(-F.abs("_in.xy") + F.least("_in.small", F.lit(0.0))))
+    x = x.withColumn("_w", F.when((c("_in.s") > 0) & (c("_t") > 0), F.struct((c("_in.g") / unit).alias("g"), ((c("_in.h") / unit - c("_r") * (c("_in.g") / unit)) / F.sqrt("_t")).alias("h"))))
+    x = x.withColumn("_q", c("_w.g") * c("_w.g") + c("_w.h") * c("_w.h"))
     ll = (
-        F.when(~(finite(c("_g.xx")) & finite(c("_g.xy")) & finite(c("_g.yy"))), F.lit(None).cast("double"))
-        .when(~(finite(c("_g.dx")) & finite(c("_g.dy"))), F.lit(-INF))
-        .when((c("_g.dx") == 0) & (c("_g.dy") == 0), F.lit(0.0))
-        .when(c("_scale") == 0, F.lit(-INF))
-        .when(c("_det") < -64 * EPSILON, F.lit(None).cast("double"))
-        .when(c("_det") <= 0, F.lit(-INF))
-        .when(c("_form") < -64 * EPSILON, F.lit(None).cast("double"))
-        .otherwise(F.when(finite(c("_q")), -0.5 * c("_q")).otherwise(F.lit(-INF)))
+        F.when(~(finite(c("_in.s")) & finite(c("_in.xy")) & finite(c("_in.small"))), F.lit(None).cast("double"))
+        .when(~(finite(c("_in.g")) & finite(c("_in.h"))), F.lit(-INF))
+        .when((c("_in.g") == 0) & (c("_in.h") == 0), F.lit(0.0))
+        .when(c("_t") < -64 * EPSILON, F.lit(None).cast("double"))
+        .when(finite(c("_q")), -0.5 * c("_q"))
+        .otherwise(F.lit(-INF))
     )
-    return x.withColumn(into, ll).drop("_g", "_scale", "_step", "_n", "_det", "_form", "_q")
+    return x.withColumn(into, ll).drop("_in", "_r", "_t", "_w", "_q")

@@ -65,6 +65,15 @@ class Commit:
     replayed: bool
 
 
+@dataclass(frozen=True)
+class Staged:
+    """Rows of a table that are written already, for the version that comes next."""
+
+    rows: DataFrame
+    path: str
+    version: int
+
+
 @dataclass
 class Classes:
     """Merge classes: a forest with the smallest member of each tree."""
@@ -440,31 +449,40 @@ class Ledger:
             raise LedgerError("IdempotencyCollision")
         return version
 
-    def commit_tables(self, root: str, tables: dict[str, DataFrame], txn: int, key: str, issued_at: int, depends_on: tuple[int, ...] = (), digest: str | None = None) -> Commit:
+    def stage(self, root: str, name: str, df: DataFrame) -> Staged:
+        """Write a table before its commit, so that what is committed beside it can be derived from its rows."""
+        v = self.version + 1
+        path = f"{root.rstrip('/')}/{name}/{v:020d}-{uuid.uuid4().hex}"
+        df.withColumn("version", F.lit(v).cast("long")).write.parquet(path)
+        return Staged(df.sparkSession.read.parquet(path).drop("version"), path, v)
+
+    def commit_tables(self, root: str, tables: dict[str, DataFrame | Staged], txn: int, key: str, issued_at: int, depends_on: tuple[int, ...] = (), digest: str | None = None) -> Commit:
         """Publish whole tables as one version: write their rows, then the manifest that names them.
 
         ``digest`` stands for the content; without one the rows themselves are summed up.
         """
+        rows = {name: t.rows if isinstance(t, Staged) else t for name, t in tables.items()}
         if key in self.state.keys:
-            return Commit(self.replayed(key, digest or content_digest(tables)), True)
+            return Commit(self.replayed(key, digest or content_digest(rows)), True)
         if txn in self.state.transactions:
             raise LedgerError("DuplicateTransaction")
         if self.version >= LAST_VERSION:
             raise LedgerError("VersionExhausted")
         if any(not self.state.transactions.get(d, {}).get("active") for d in depends_on):
             raise LedgerError("MissingDependency")
-        v, paths, attempt = self.version + 1, {}, uuid.uuid4().hex
-        for name, df in tables.items():
-            paths[name] = f"{root.rstrip('/')}/{name}/{v:020d}-{attempt}"
-            df.withColumn("version", F.lit(v).cast("long")).write.parquet(paths[name])
+        v = self.version + 1
+        if any(isinstance(t, Staged) and t.version != v for t in tables.values()):
+            raise LedgerError("VersionConflict")
+        staged = {name: t if isinstance(t, Staged) else self.stage(root, name, t) for name, t in tables.items()}
+        paths = {name: t.path for name, t in staged.items()}
         if digest is None:
-            digest = content_digest({name: tables[name].sparkSession.read.parquet(path).drop("version") for name, path in paths.items()})
+            digest = content_digest({name: t.rows for name, t in staged.items()})
         doc = {"txn": txn, "key": key, "issued_at": issued_at, "tables": paths, "version": v, "depends_on": list(depends_on), "digest": digest}
         try:
             self.backend.apply({version_key(v): json.dumps(doc).encode()}, exclusive=True)
         except KeyExists as x:
-            for name, path in paths.items():
-                _remove(tables[name].sparkSession, path)
+            for t in staged.values():
+                _remove(t.rows.sparkSession, t.path)
             raise LedgerError("VersionConflict") from x
         return Commit(self.state.publish(doc), False)
 

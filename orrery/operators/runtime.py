@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from orrery.operators import candidates, decide, infer, outbox, workspace
 from orrery.operators.factors import FactorProvider, contributions_by_variable, factor_error
-from orrery.operators.ledger import Ledger, new_observations, row_digest
+from orrery.operators.ledger import Ledger, Staged, new_observations, row_digest
 from orrery.session import written
 
 
@@ -70,7 +70,7 @@ class Runtime:
         """Swap providers and snapshot versions at once; a batch that is under way keeps its own."""
         self.snapshot = Snapshot(tuple(providers), host, candidates)
 
-    def _commit(self, tables: dict[str, DataFrame], tag: str, issued_at: int, batch_key: str, digest: str, after: int | None = None) -> int:
+    def _commit(self, tables: dict[str, DataFrame | Staged], tag: str, issued_at: int, batch_key: str, digest: str, after: int | None = None) -> int:
         txn = max(self.ledger.state.transactions, default=0) + 1
         depends = tuple(t for t, r in self.ledger.state.transactions.items() if r["version"] == after)
         return self.ledger.commit_tables(self.root, tables, txn, _key(batch_key, tag), issued_at, depends, digest).version
@@ -109,10 +109,11 @@ class Runtime:
             left = self.retry(batch_key, issued)
         return Result(evidence, resolution, self.ledger.version, self.ledger.table(spark, "decisions", only=resolution), rejected, left)
 
-    def _resolve(self, fresh: DataFrame, pinned: Snapshot, batch_key: str) -> dict[str, DataFrame]:
+    def _resolve(self, fresh: DataFrame, pinned: Snapshot, batch_key: str) -> dict[str, DataFrame | Staged]:
         """The tables of a resolution."""
         spark = fresh.sparkSession
-        gated = written(candidates.union(*[_complete(p, p.generate_candidates(fresh), fresh) for p in pinned.providers]), "gated")
+        each = [_complete(p.generate_candidates(fresh), fresh) for p in pinned.providers]
+        gated = each[0] if len(each) == 1 else written(candidates.union(*each), "gated")
         tables = [p.emit_factors(fresh, gated) for p in pinned.providers]
         every = tables[0]
         for t in tables[1:]:
@@ -120,8 +121,8 @@ class Runtime:
         every = written(every, "factors")
         groups = written(candidates.groups(gated), "groups")
         _validate(every, groups)
-        entries = written(self._posterior(every, groups), "posterior")
-        decided = decide.decide(entries, self.losses).withColumnRenamed("inference_id", "observation_id")
+        entries = self.ledger.stage(self.root, "inferences", self._posterior(every, groups))
+        decided = decide.decide(entries.rows, self.losses).withColumnRenamed("inference_id", "observation_id")
         number = lambda tag: F.xxhash64("observation_id", F.lit(f"{batch_key}{tag}")).bitwiseAND(F.lit(2**63 - 1))
         decided = decided.withColumn("decision_id", number("")).withColumn("created_identity", F.when(F.col("action") == "new", number(":identity")))
         decided = written(decided.withColumn("policy_version", F.lit(self.losses.policy_version)).withColumn("loss_version", F.lit(self.losses.loss_version)), "decided")
@@ -175,22 +176,27 @@ class Runtime:
         """
         how = ["iterations", "residual", "reason"]
         if every.where(F.size("variables") > 1).isEmpty():
-            # each outcome's state index, then the sum of all tables' potentials for it
-            cells = every.select(F.element_at("variables", 1).alias("observation_id"), F.posexplode("log_potentials").alias("state", "v"))
-            score = cells.groupBy("observation_id", "state").agg(F.sum("v").alias("v"))
-            c = self.config
-            outcomes = groups.select("observation_id", F.size("candidates").alias("n"), "candidates").select("observation_id", "n", "candidates", F.explode(F.sequence(F.lit(0), F.col("n") + 1)).alias("state"))
-            prior = F.when(F.col("state") < F.col("n"), c.candidate_prior).when(F.col("state") == F.col("n"), c.new_prior).otherwise(c.noise_prior)
+            # a row for each observation up to the last step: its tables are added up place by place
+            tables = every.groupBy(F.element_at("variables", 1).alias("observation_id")).agg(F.collect_list("log_potentials").alias("t"))
+            plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+            c, n = self.config, F.size("candidates")
+            prior = F.concat(F.array_repeat(F.lit(float(c.candidate_prior)), n), F.array(F.lit(float(c.new_prior)), F.lit(float(c.noise_prior))))
             # no factor at all leaves the priors
-            scored = outcomes.join(score, ["observation_id", "state"], "left").withColumn("score", prior + F.coalesce("v", F.lit(0.0)))
-            solved = infer.softmax(scored, ["observation_id"], "score").select("observation_id", "state", "n", "candidates", "p", F.lit(2).alias("iterations"), F.lit(0.0).alias("residual"), F.lit("Exact").alias("reason"))
+            score = F.when(F.col("t").isNull(), prior).otherwise(F.aggregate("t", prior, plus))
+            scored = groups.join(tables, "observation_id", "left").select("observation_id", "candidates", n.alias("n"), score.alias("s"))
+            # the largest is bound to a variable, so that it is found once a row
+            shifted = lambda m: F.transform("s", lambda x: F.exp(x - m))
+            scored = scored.select("observation_id", "candidates", "n", F.element_at(F.transform(F.array(F.array_max("s")), shifted), 1).alias("e"))
+            total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
+            solved = scored.select("observation_id", "n", "candidates", total.alias("total"), F.posexplode("e").alias("state", "e"))
+            solved = solved.select("observation_id", "state", "n", F.get("candidates", F.col("state")).alias("identity_id"), (F.col("e") / F.col("total")).alias("p"), F.lit(2).alias("iterations"), F.lit(0.0).alias("residual"), F.lit("Exact").alias("reason"))
         else:
             variables = groups.select(F.col("observation_id").alias("variable"), F.size("candidates").alias("candidates"))
             v, f = infer.by_component(variables, every)
             p = infer.posteriors(v, f, self.config, "component").select(F.col("variable").alias("observation_id"), "state", "p", *how)
-            solved = p.join(groups.select("observation_id", F.size("candidates").alias("n"), "candidates"), "observation_id")
+            solved = p.join(groups.select("observation_id", F.size("candidates").alias("n"), "candidates"), "observation_id").withColumn("identity_id", F.get("candidates", F.col("state")))
         rank = F.greatest(F.col("state") - F.col("n") + 1, F.lit(0))
-        return solved.select(F.col("observation_id").alias("inference_id"), rank.cast("int").alias("outcome_rank"), F.get("candidates", F.col("state")).alias("identity_id"), "p", *how)
+        return solved.select(F.col("observation_id").alias("inference_id"), rank.cast("int").alias("outcome_rank"), "identity_id", "p", *how)
 
 
 def _key(batch_key: str, tag: str) -> str:
@@ -203,7 +209,7 @@ def _associations(decided: DataFrame, seen: DataFrame) -> DataFrame:
     return known.join(seen.select("observation_id", "ingestion_time"), "observation_id").select("identity_id", F.col("version").cast("long").alias("version"), F.col("ingestion_time").alias("activation"), "decision_id")
 
 
-def _complete(provider: FactorProvider, gated: DataFrame, fresh: DataFrame) -> DataFrame:
+def _complete(gated: DataFrame, fresh: DataFrame) -> DataFrame:
     """A provider's candidates, which must name all observations of the batch and no others."""
     gated = written(gated, "candidates")
     has = gated.select("observation_id").distinct().withColumn("_has", F.lit(True))

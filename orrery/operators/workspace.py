@@ -18,6 +18,12 @@ def bounded_history(entries: DataFrame, capacity: int, by: str = "identity_id",
     return top.groupBy(by).agg(F.sort_array(F.collect_list(order)).alias("history"))
 
 
+def evicted_history(entries: DataFrame, capacity: int, by: str = "identity_id", order: str = "version") -> DataFrame:
+    """What ``bounded_history`` leaves out: the rows beyond the newest ``capacity``."""
+    w = Window.partitionBy(by).orderBy(F.desc(order))
+    return entries.withColumn("_k", F.row_number().over(w)).where(F.col("_k") > max(capacity, 0)).drop("_k")
+
+
 def history_error(capacity: int, size) -> F.Column:
     return F.when(size > capacity, "OverCapacity")
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import checks, geo, metrics
-from orrery.operators import candidates, decide, factors, graph, infer, versions
+from orrery.operators import candidates, decide, factors, graph, infer, versions, workspace
 from orrery.plans import adapters
 from orrery.session import table, written
 
@@ -162,6 +162,37 @@ def split_validate(spark, sf_dir):
     return checks.split_errors(c.select(F.col("conv_id").alias("plan_id"), F.col("role").alias("part"), F.lit("identity").alias("kind"), F.floor(F.col("turn") / 2).alias("id")))
 
 
+@query("""
+WITH x AS (SELECT *, event_id % 6 AS k FROM events)
+SELECT event_id, CASE WHEN k = 0 THEN 'UnknownSemantics' WHEN k = 1 THEN 'NonFinite' WHEN k = 2 AND (value < 0 OR value > 100) THEN 'OutOfRange' WHEN k = 3 THEN 'EmptyDomain' END AS contribution_error,
+  event_id % 5 < 4 AS keeps_marginal, CASE WHEN value < 50 THEN 'false_assign' WHEN k = 4 THEN 'false_noise' END AS loss_error, CASE WHEN user_id = event_id % 50 THEN 'SelfMerge' END AS merge_error,
+  CASE WHEN event_id % 3 = 0 THEN 'EmptyEnvelope' END AS envelope_error, CASE WHEN k = 1 THEN 'NonFiniteLatitude' WHEN abs(value * 2 - 100) > 90 THEN 'LatitudeRange' WHEN k = 5 THEN 'LongitudeRange' END AS point_error,
+  round(CASE WHEN k = 1 THEN 0 ELSE greatest(least(value * 2 - 100, 90), -90) END, 6) + 0.0 AS latitude, CASE WHEN k = 1 THEN 'NonFiniteMean' END AS mean_error,
+  CASE WHEN event_id % 4 = 0 THEN 'EmptyDimension' WHEN value <= 0 THEN 'InvalidThroughput' WHEN event_id % 3 < 2 THEN 'LatencyOrder' END AS scale_error, CASE WHEN event_id % 7 > 4 THEN 'OverCapacity' END AS history_error,
+  round(ln(exp(value / 100) + exp(1.0) + 1), 6) AS log_sum
+FROM x""")
+def model_validate(spark, sf_dir):
+    e, k, v = table(spark, sf_dir, "events"), F.col("event_id") % 6, F.col("value")
+    nan = lambda c: F.when(k == 1, F.lit(float("nan"))).otherwise(c)
+    treatment = F.element_at(F.array(*map(F.lit, ("Global", "ExactInduced", "NoCrossBoundary", "ConstantInduced", "Conditional"))), (F.col("event_id") % 5 + 1).cast("int"))
+    lat, lon = nan(v * 2 - 100), F.when(k == 5, F.lit(181.0)).otherwise(F.lit(1.0))
+    one = F.lit(1.0)
+    return e.select(
+        "event_id",
+        checks.contribution_error(nan(v / 100), F.when(k == 0, "Odd").when(k == 2, "CalibratedPosterior").otherwise("LogPotential"), F.when(k == 3, "").otherwise("events")).alias("contribution_error"),
+        checks.keeps_global_marginal(treatment).alias("keeps_marginal"),
+        checks.loss_error(v - 50, one, F.when(k == 4, -one).otherwise(one), one).alias("loss_error"),
+        checks.merge_error(F.col("user_id"), F.col("event_id") % 50).alias("merge_error"),
+        checks.envelope_error(F.array_repeat(F.lit("command"), (F.col("event_id") % 3).cast("int"))).alias("envelope_error"),
+        geo.point_error(lat, lon).alias("point_error"),
+        r6(geo.point(lat, lon)["lat"]).alias("latitude"),
+        geo.mean2d_error(lat, lon).alias("mean_error"),
+        metrics.scale_error([F.col("event_id") % 4], v, one, F.lit(2.0), F.col("event_id") % 3 * one).alias("scale_error"),
+        workspace.history_error(4, F.col("event_id") % 7).alias("history_error"),
+        r6(infer.log_sum_exp(F.array(v / 100, one, F.lit(0.0)))).alias("log_sum"),
+    )
+
+
 # ---------------------------------------------------------------- spatial
 
 _POINTS = """c AS (SELECT c_custkey, c_nationkey, (c_custkey * 37 % 180) - 90.0::DOUBLE AS lat, (c_custkey * 91 % 360) - 180.0::DOUBLE AS lon FROM customer),
@@ -366,6 +397,30 @@ def ledger_replay_contiguity(spark, sf_dir):
     return versions.contiguous(adapters.observations(spark, sf_dir).groupBy("version").agg(F.count(F.lit(1)).alias("commands")))
 
 
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS observation_id, l_orderkey * 10 + l_linenumber AS decision_id, l_linenumber::BIGINT AS version FROM lineitem)
+SELECT *, CASE WHEN version = 3 THEN least(lead(version) OVER w, 8) ELSE lead(version) OVER w END AS valid_to FROM d WINDOW w AS (PARTITION BY observation_id ORDER BY version)""")
+def ledger_history(spark, sf_dir):
+    """Decisions of seven commits of tables to a ledger, one of them reverted: when did each of them hold?
+
+    Each order is an observation, each of its line numbers a newer decision on it.
+    """
+    import uuid
+
+    from orrery.operators.ledger import Envelope, Ledger
+    from orrery.session import scratch
+    from orrery.sources.kv import FolderBackend
+
+    root = f"{scratch(spark)}/ledger-{uuid.uuid4().hex}"
+    ledger = Ledger(FolderBackend(spark, f"{root}/manifests"))
+    x = table(spark, sf_dir, "lineitem")
+    lines = x.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("decision_id"), F.col("l_orderkey").cast("long").alias("observation_id"), F.lit("assign").alias("action"), F.col("l_partkey").cast("long").alias("identity_id"), "l_linenumber").dropDuplicates(["decision_id"])
+    for k in range(1, 8):
+        ledger.commit_tables(f"{root}/tables", {"decisions": lines.where(F.col("l_linenumber") == k).drop("l_linenumber")}, k, f"{k:032x}", k)
+    ledger.commit(Envelope(100, ledger.version, f"{100:032x}", 8, ({"kind": "Revert", "target": 3, "mode": "Strict"},)))
+    again = Ledger(FolderBackend(spark, f"{root}/manifests"))  # what a restart finds
+    return versions.intervals(again.decisions(spark)).select("observation_id", "decision_id", "version", "valid_to")
+
+
 # ---------------------------------------------------------------- merges, splits, dependencies
 
 _MERGES = """k AS (SELECT doc_id, lower(coalesce(text, '')) AS k FROM documents),
@@ -490,8 +545,6 @@ def host_incoming_degree(spark, sf_dir):
 
 @query("SELECT user_id, event_id, k FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5")
 def history_last_k(spark, sf_dir):
-    from orrery.operators import workspace
-
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("identity_id"), F.col("event_id").alias("version"))
     h = workspace.bounded_history(e, 5)
     return h.select(F.col("identity_id").alias("user_id"), F.posexplode(F.reverse("history")).alias("p", "event_id")).select("user_id", "event_id", (F.col("p") + 1).cast("long").alias("k"))
@@ -501,8 +554,6 @@ _WORK = """a AS (SELECT user_id AS identity_id, max(event_id // 100) AS version,
 
 
 def _workspace(spark, sf_dir):
-    from orrery.operators import workspace
-
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("identity_id"), F.floor(F.col("event_id") / 100).alias("version"), adapters.micros(F.col("ts")).alias("activation"), F.col("event_id").alias("decision_id"))
     return workspace.apply_committed(e, capacity=4)
 
@@ -514,8 +565,6 @@ def workspace_apply(spark, sf_dir):
 
 @query(f"WITH {_WORK} SELECT identity_id, last_activation, last_activation < 1706550000000000 AS evicted FROM a")
 def workspace_evict(spark, sf_dir):
-    from orrery.operators import workspace
-
     kept, gone = workspace.evict_before(_workspace(spark, sf_dir), 1706550000000000)
     return gone.withColumn("evicted", F.lit(True)).unionByName(kept.withColumn("evicted", F.lit(False))).select("identity_id", "last_activation", "evicted")
 
@@ -644,7 +693,6 @@ WITH u AS (SELECT user_id AS identity_id, event_id, epoch_us(ts) AS t FROM event
 SELECT identity_id, count(*) AS n, max(t) AS last_activation, max(t) < now - 3600000000 AS evicted FROM u, m GROUP BY identity_id, now""")
 def stream_eviction(spark, sf_dir):
     """Identities that a stateful stream would evict: an hour without activity before the newest event."""
-    from orrery.operators import workspace
     from orrery.streaming import resolve
 
     w = resolve.workspace_from_stream(spark, sf_dir)

@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +56,11 @@ def test_gaussian(spark):
     assert ll(1, 0, 0, 0, 0) == -math.inf
     assert ll(1, 0, 1, 2, 1) is None
     assert ll(1e200, 0, 1e300, 0, 1e300) == pytest.approx(-0.5e100)
+    assert ll(1, 0, 1, 1, 1) == ll(0, 1, 1, 0, 0) == -math.inf and ll(1, 0, 0, 1, 0) is None and ll(1, 0, -1, 0, -1) is None
+    assert ll(0, 0, math.nan, 0, 1) is None and ll(math.nan, 0, 1, 0, 1) == ll(1e200, 0, 1e-300, 0, 1) == -math.inf
+    for g in ((1.0, -2.0, 3.0, 0.7, 0.5), (0.3, 4.0, 0.2, -0.3, 9.0), (1e-9, 2e-9, 1e-18, 3e-19, 2e-18)):
+        d, s = np.array(g[:2]), np.array([[g[2], g[3]], [g[3], g[4]]])
+        assert ll(*g) == pytest.approx(-0.5 * d @ np.linalg.solve(s, d), rel=1e-9)
 
 
 def test_metrics(spark):

@@ -253,6 +253,7 @@ def test_workspace(spark):
     h = spark.createDataFrame([(1, k) for k in range(1, 4)], "identity_id long, version long")
     assert workspace.bounded_history(h, 2).first()["history"] == [2, 3]
     assert workspace.bounded_history(h, 0).first()["history"] == []
+    assert [r["version"] for r in workspace.evicted_history(h, 2).collect()] == [1] and workspace.evicted_history(h, 0).count() == 3
     s = spark.createDataFrame([(1, 1, 1, 1, "a"), (1, 1, 1, 2, "b")], "identity_id long, provider_id long, schema_id long, version long, data string")
     assert workspace.upsert_summaries(s, s).collect()[0]["data"] == "b"
 
