@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from orrery.session import table
 
-#: Identities that a blocking key splits the users into.
-BLOCKS = 16
+#: Users of a block of candidates, about: an observation has as many candidates however many users there are.
+BLOCK_USERS = 94
+#: The number of blocks in SQL.
+BLOCKS_SQL = f"(SELECT greatest(1, ceil(count(DISTINCT user_id) / {BLOCK_USERS}.0))::BIGINT FROM events)"
 
 
 def micros(c: Column) -> Column:
@@ -38,6 +40,12 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def blocks(spark: SparkSession, sf_dir: str) -> int:
+    """Blocks that the users are split into."""
+    users = table(spark, sf_dir, "events").agg(F.count_distinct("user_id")).first()[0]
+    return max(1, -(-users // BLOCK_USERS))
+
+
 def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("user_id").alias("identity_id")).agg(F.min(micros(F.col("ts"))).alias("created_at"), F.max(micros(F.col("ts"))).alias("last_activation"), F.count(F.lit(1)).alias("n"))

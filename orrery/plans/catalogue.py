@@ -235,10 +235,12 @@ def gauss2d_ll(spark, sf_dir):
 
 
 def _gated(spark, sf_dir, *keep):
-    return candidates.gate(adapters.observations(spark, sf_dir), adapters.identities(spark, sf_dir), F.col("user_id") % adapters.BLOCKS, F.col("identity_id") % adapters.BLOCKS, keep)
+    n = adapters.blocks(spark, sf_dir)
+    return candidates.gate(adapters.observations(spark, sf_dir), adapters.identities(spark, sf_dir), F.col("user_id") % n, F.col("identity_id") % n, keep)
 
 
-_GATED = f"gated AS (SELECT DISTINCT event_id AS observation_id, u.identity_id FROM events LEFT JOIN (SELECT DISTINCT user_id AS identity_id FROM events) u ON user_id % {adapters.BLOCKS} = u.identity_id % {adapters.BLOCKS})"
+_GATED = f"""blocks AS (SELECT {adapters.BLOCKS_SQL} AS n), keyed AS (SELECT event_id AS observation_id, user_id % n AS b FROM events, blocks),
+gated AS (SELECT DISTINCT observation_id, u.identity_id FROM keyed LEFT JOIN (SELECT DISTINCT user_id AS identity_id, user_id % n AS b FROM events, blocks) u ON keyed.b = u.b)"""
 
 
 @query(f"WITH {_GATED} SELECT observation_id, identity_id FROM gated")
@@ -274,11 +276,13 @@ def factor_check(spark, sf_dir):
 def _entries(spark, sf_dir):
     """Scores of every outcome of every event: its gated users, New and Noise.
 
-    A user scores by closeness of the event's value to twice the user's number; the formula is fixed.
+    A user scores by closeness of the event's value to twice the user's number; the formula is fixed, to nine
+    places, so that scores which are equal by it are equal in any arithmetic.
     """
     o = adapters.observations(spark, sf_dir).select("observation_id", "user_id", "value")
     known = _gated(spark, sf_dir, "user_id", "value").where("identity_id IS NOT NULL")
     score = -F.abs(F.col("value") - 2 * F.col("identity_id")) / 20 + F.when(F.col("identity_id") == F.col("user_id"), 1.0).otherwise(0.0)
+    score = F.floor(score * 1e9 + 0.5) / 1e9
     known = known.select(F.col("observation_id").alias("inference_id"), F.lit(0).alias("outcome_rank"), "identity_id", score.alias("score"))
     rest = o.select(F.col("observation_id").alias("inference_id"), F.inline(F.array(*[F.struct(F.lit(r).alias("outcome_rank"), F.lit(None).cast("long").alias("identity_id"), F.lit(s).alias("score")) for r, s in ((1, NEW_PRIOR), (2, NOISE_PRIOR))])))
     return known.unionByName(rest)
@@ -290,7 +294,7 @@ def _posterior(spark, sf_dir):
 
 _ENTRIES = f"""{_GATED},
 entries AS (SELECT g.observation_id AS inference_id, 0 AS outcome_rank, g.identity_id,
-    -abs(value - 2 * g.identity_id) / 20 + CASE WHEN g.identity_id = user_id THEN 1.0 ELSE 0.0 END AS score
+    floor((-abs(value - 2 * g.identity_id) / 20 + CASE WHEN g.identity_id = user_id THEN 1.0 ELSE 0.0 END) * 1e9 + 0.5) / 1e9 AS score
   FROM gated g JOIN events ON event_id = g.observation_id WHERE g.identity_id IS NOT NULL
   UNION ALL SELECT event_id, 1, NULL, {NEW_PRIOR} FROM events UNION ALL SELECT event_id, 2, NULL, {NOISE_PRIOR} FROM events),
 post AS (SELECT *, exp(score - max(score) OVER w) / sum(exp(score - m)) OVER w AS p FROM (SELECT *, max(score) OVER (PARTITION BY inference_id) AS m FROM entries) WINDOW w AS (PARTITION BY inference_id))"""

@@ -44,11 +44,11 @@ class ValueProvider:
 
     provider_id, model_version = 1, 1
 
-    def __init__(self, identities: DataFrame):
-        self.identities = identities
+    def __init__(self, identities: DataFrame, blocks: int):
+        self.identities, self.blocks = identities, blocks
 
     def generate_candidates(self, observations: DataFrame) -> DataFrame:
-        return candidates.gate(observations, self.identities, F.col("user_id") % adapters.BLOCKS, F.col("identity_id") % adapters.BLOCKS)
+        return candidates.gate(observations, self.identities, F.col("user_id") % self.blocks, F.col("identity_id") % self.blocks)
 
     def emit_factors(self, observations: DataFrame, gated: DataFrame) -> DataFrame:
         groups = candidates.groups(gated).join(observations.select("observation_id", "value"), "observation_id")
@@ -81,6 +81,6 @@ def resolved_from_stream(spark: SparkSession, sf_dir: str, parts: int = 3) -> Da
     for k in range(parts if hi is not None else 0):
         part = o.where((F.col("observation_id") >= lo + k * step) & (F.col("observation_id") < lo + (k + 1) * step))
         part.repartition(1).write.mode("append").parquet(f"{root}/in")
-    runtime = Runtime(Ledger(FolderBackend(spark, f"{root}/ledger")), f"{root}/tables", [ValueProvider(adapters.identities(spark, sf_dir).select("identity_id"))], Config(new_prior=-1.0, noise_prior=-2.0))
+    runtime = Runtime(Ledger(FolderBackend(spark, f"{root}/ledger")), f"{root}/tables", [ValueProvider(adapters.identities(spark, sf_dir).select("identity_id"), adapters.blocks(spark, sf_dir))], Config(new_prior=-1.0, noise_prior=-2.0))
     resolve_stream(limited(spark, f"{root}/in", 1), runtime, "events", f"{root}/state").awaitTermination()
     return runtime.ledger.table(spark, "decisions").select("observation_id", "action", "identity_id")

@@ -38,7 +38,7 @@ def test_stop_and_restart_gives_the_same_ledger(spark, sf, tmp_path):
     def run(root, stops):
         for k, n in enumerate(stops):
             o.where((F.col("observation_id") % 4 >= (stops[k - 1] if k else 0)) & (F.col("observation_id") % 4 < n)).repartition(1).write.mode("append").parquet(f"{root}/in")
-            runtime = Runtime(Ledger(FolderBackend(spark, f"{root}/ledger")), f"{root}/tables", [resolve.ValueProvider(users)])
+            runtime = Runtime(Ledger(FolderBackend(spark, f"{root}/ledger")), f"{root}/tables", [resolve.ValueProvider(users, adapters.blocks(spark, sf))])
             resolve.resolve_stream(limited(spark, f"{root}/in", 1), runtime, "e", f"{root}/state").awaitTermination()
         return runtime.ledger
 
