@@ -68,6 +68,6 @@ def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def points(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     at = lambda k: [((F.col(k) * 37 % 180) - 90).cast("double").alias("lat"), ((F.col(k) * 91 % 360) - 180).cast("double").alias("lon")]
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", *at("c_custkey"))
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", *at("s_suppkey"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", *at("c_custkey"))
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", *at("s_suppkey"))
     return c, s

@@ -195,30 +195,35 @@ def model_validate(spark, sf_dir):
 
 # ---------------------------------------------------------------- spatial
 
-_POINTS = """c AS (SELECT c_custkey, c_nationkey, (c_custkey * 37 % 180) - 90.0::DOUBLE AS lat, (c_custkey * 91 % 360) - 180.0::DOUBLE AS lon FROM customer),
-s AS (SELECT s_suppkey, s_nationkey, (s_suppkey * 37 % 180) - 90.0::DOUBLE AS lat, (s_suppkey * 91 % 360) - 180.0::DOUBLE AS lon FROM supplier),
-h AS (SELECT c_custkey, s_suppkey, least(greatest(pow(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - c.lon) / 2), 2), 0), 1) AS a
-  FROM c JOIN s ON c_nationkey = s_nationkey),
-d AS (SELECT c_custkey, s_suppkey, 2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)) AS m FROM h)"""
+# a pair for each order line, of its customer and its supplier: as many as lines, whatever a nation holds
+_POINTS = """c AS (SELECT c_custkey, (c_custkey * 37 % 180) - 90.0::DOUBLE AS lat, (c_custkey * 91 % 360) - 180.0::DOUBLE AS lon FROM customer),
+s AS (SELECT s_suppkey, (s_suppkey * 37 % 180) - 90.0::DOUBLE AS lat, (s_suppkey * 91 % 360) - 180.0::DOUBLE AS lon FROM supplier),
+h AS (SELECT l_orderkey, l_linenumber, c_custkey, s_suppkey, least(greatest(pow(sin(radians(s.lat - c.lat) / 2), 2) + cos(radians(c.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - c.lon) / 2), 2), 0), 1) AS a
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN c ON o_custkey = c_custkey JOIN s ON l_suppkey = s_suppkey),
+d AS (SELECT l_orderkey, l_linenumber, c_custkey, s_suppkey, 2 * 6371000.0 * atan2(sqrt(a), sqrt(1 - a)) AS m FROM h)"""
+_PAIR = ("l_orderkey", "l_linenumber", "c_custkey", "s_suppkey")
 
 
 def _distances(spark, sf_dir):
     c, s = adapters.points(spark, sf_dir)
-    pairs = c.join(s.toDF("s_suppkey", "c_nationkey", "lat2", "lon2"), "c_nationkey")
-    return pairs.select("c_custkey", "s_suppkey", geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("m"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    pairs = lines.join(orders, "l_orderkey").join(c, "c_custkey").join(s.toDF("s_suppkey", "lat2", "lon2"), "s_suppkey")
+    return pairs.select(*_PAIR, geo.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("m"))
 
 
-@query(f"WITH {_POINTS} SELECT c_custkey, s_suppkey, round(m / 1000, 3) AS km FROM d")
+@query(f"WITH {_POINTS} SELECT {', '.join(_PAIR)}, round(m / 1000, 3) AS km FROM d")
 def geo_haversine(spark, sf_dir):
-    return _distances(spark, sf_dir).select("c_custkey", "s_suppkey", (F.round(F.col("m") / 1000, 3) + 0.0).alias("km"))
+    """How far is the customer of an order line from its supplier?"""
+    return _distances(spark, sf_dir).select(*_PAIR, (F.round(F.col("m") / 1000, 3) + 0.0).alias("km"))
 
 
-@query(f"""WITH {_POINTS} SELECT c_custkey, s_suppkey, CASE WHEN c_custkey % 10 = 0 THEN CASE WHEN m <= 2.220446049250313e-16 THEN 0.0 ELSE -1.0 END
+@query(f"""WITH {_POINTS} SELECT {', '.join(_PAIR)}, CASE WHEN c_custkey % 10 = 0 THEN CASE WHEN m <= 2.220446049250313e-16 THEN 0.0 ELSE -1.0 END
   ELSE round(-0.5 * pow(m / sqrt(pow(1e6 * (c_custkey % 10), 2) + 1e12), 2), 6) + 0.0 END AS ll FROM d""")
 def geo_isotropic_ll(spark, sf_dir):
     k = F.col("c_custkey") % 10
     ll = geo.isotropic_log_likelihood(F.col("m"), geo.accuracy(k * 1e6), F.when(k == 0, F.lit(0.0)).otherwise(F.lit(1e6)))
-    return _distances(spark, sf_dir).select("c_custkey", "s_suppkey", F.when(ll == -checks.INF, F.lit(-1.0)).otherwise(r6(ll)).alias("ll"))
+    return _distances(spark, sf_dir).select(*_PAIR, F.when(ll == -checks.INF, F.lit(-1.0)).otherwise(r6(ll)).alias("ll"))
 
 
 @query("""
