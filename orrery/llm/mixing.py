@@ -24,6 +24,8 @@ from orrery.session import intermediate, written
 
 #: Up to so many leaves (about 100 bytes each) the leaf table is broadcast; beyond, it is joined by shuffle.
 MAX_BROADCAST_LEAVES = 20_000
+#: Parts of an octave in which the water level is looked for.
+STEPS = 64
 LEVELS = ("domain", "lang", "source")
 
 
@@ -45,23 +47,44 @@ def fill(nodes: DataFrame, parents: list[str], child: str, weights: dict) -> Dat
 
     ``nodes``: parents, child, capacity, budget.  Water filling in closed form: in the order of capacity
     for a unit of weight, a child is full while the level of what is left exceeds its own.
+
+    Scale: children of equal ratio are full or open together, so they are summed first.  The level is then
+    looked for in octaves of the ratio, ``STEPS`` to each, and only the ratios of the one step in which it
+    lies are ordered: a parent with any number of children never meets in one task.
     """
-    by = Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))
-    order = by.orderBy("_ratio", child)
-    w = nodes.withColumn("_w", _weights(child, weights)).withColumn("_ratio", F.when(F.col("_w") > 0, F.col("capacity") / F.col("_w")).otherwise(F.lit(float("inf"))))
-    before = F.coalesce(F.sum(F.when(F.col("_w") > 0, F.col("capacity")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.sum("_w").over(order.rowsBetween(0, Window.unboundedFollowing))
-    w = w.withColumn("_level", F.when(after > 0, F.greatest(F.col("budget") - before, F.lit(0)) / after).otherwise(F.lit(0.0)))
-    # the water level is that of the first child that is not full
-    w = w.withColumn("_open", F.when(F.col("_level") < F.col("_ratio"), F.col("_level")))
-    first = F.min(F.when(F.col("_open").isNotNull() & (F.col("_w") > 0), F.struct("_ratio", child, "_open"))).over(by)
-    quota = F.when(F.col("_w") <= 0, F.lit(0.0)).when(first.isNull(), F.col("capacity").cast("double")).otherwise(F.least(F.col("capacity").cast("double"), first["_open"] * F.col("_w")))
-    return w.withColumn("quota", quota).drop("_w", "_ratio", "_level", "_open")
+    if not parents:
+        return fill(nodes.withColumn("_root", F.lit(0)), ["_root"], child, weights).drop("_root")
+    # written, since the plan reads it three times, and the next level down reads that
+    weighted = written(nodes, "mix-level").withColumn("_w", _weights(child, weights))
+    ratio = F.col("capacity") / F.col("_w")
+    each = weighted.where(F.col("_w") > 0).groupBy(*parents, ratio.alias("_ratio")).agg(F.sum("capacity").alias("_cap"), F.sum("_w").alias("_w"), F.first("budget").alias("budget"))
+    step = F.coalesce(F.floor(F.log2(F.col("_ratio")) * STEPS), F.lit(-(1 << 20)))
+    each = each.withColumn("_step", step)
+    by = Window.partitionBy(*parents)
+
+    def below(c: str, order: str) -> Column:
+        return F.coalesce(F.sum(c).over(by.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    steps = each.groupBy(*parents, "_step").agg(F.sum("_cap").alias("_cap"), F.sum("_w").alias("_w"), F.max("_ratio").alias("_top"), F.first("budget").alias("budget"))
+    # what the steps before take, and the weight from here on
+    steps = steps.withColumn("_before", below("_cap", "_step")).withColumn("_after", F.sum("_w").over(by) - below("_w", "_step"))
+    # its last children are not full, and those of all steps before are
+    not_full = F.col("budget") < F.col("_before") + F.col("_cap") + F.col("_top") * (F.col("_after") - F.col("_w"))
+    found = F.min(F.when(not_full, F.struct("_step", "_top", "_before", "_after")))
+    edge = steps.groupBy(*parents).agg(found.alias("e")).where("e IS NOT NULL").select(*parents, "e.*")
+    edge = edge.toDF(*parents, "_step", "_top", "_base", "_weight")
+    inside = each.join(edge, [*parents, "_step"])
+    level = F.greatest(F.col("budget") - F.col("_base") - below("_cap", "_ratio"), F.lit(0)) / (F.col("_weight") - below("_w", "_ratio"))
+    inside = inside.withColumn("_level", level).where((F.col("_level") < F.col("_ratio")) | (F.col("_ratio") >= F.col("_top")))
+    levels = inside.groupBy(*parents).agg(F.min_by("_level", "_ratio").alias("_level"))
+    capacity = F.col("capacity").cast("double")
+    quota = F.when(F.col("_w") <= 0, F.lit(0.0)).when(F.col("_level").isNull(), capacity).otherwise(F.least(capacity, F.col("_level") * F.col("_w")))
+    return weighted.join(levels, parents, "left").withColumn("quota", quota).drop("_w", "_level")
 
 
 def leaf_budgets(leaves: DataFrame, share: float, weights: dict, max_epochs: int) -> DataFrame:
     """``leaves``: the three levels and ``supply``.  Adds ``quota``, whole tokens."""
-    cap = leaves.withColumn("capacity", F.col("supply") * max_epochs)
+    cap = written(leaves.withColumn("capacity", F.col("supply") * max_epochs), "mix-leaves")
     total = F.sum("supply").over(Window.partitionBy(F.lit(0)))
     top = cap.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("supply").alias("supply")).withColumn("budget", total * F.lit(float(share)))
     top = fill(top, [], "domain", weights).select("domain", F.col("quota").alias("budget"))

@@ -256,6 +256,32 @@ def test_budgets_by_hand(spark):
     assert quota(5.0, {}, 2) == {("a", "x"): 200, ("a", "y"): 20, ("b", "x"): 200}
 
 
+def test_water_filling_against_a_plain_one(spark):
+    """Children of equal ratio, without capacity or weight, thousands of them, and budgets that end anywhere."""
+    rng = random.Random(12)
+    rows = []
+    for parent in range(40):
+        n = rng.choice((1, 2, 5, 60, 3000))
+        caps = [rng.choice((0, 1, 7, 7, 7, 1000, rng.randrange(1, 10**9))) for _ in range(n)]
+        share = rng.choice((0.0, 0.01, 0.3, 0.9, 1.0, 2.0))
+        rows += [(f"p{parent}", f"c{k}", c, sum(caps) * share) for k, c in enumerate(caps)]
+    weights = {"child": {"c0": 0.0, "c1": 3.0, "c2": 0.25, "c4": 2.0}}
+    nodes = spark.createDataFrame(rows, "parent string, child string, capacity long, budget double").repartition(5)
+    got = {(r["parent"], r["child"]): r["quota"] for r in mixing.fill(nodes, ["parent"], "child", weights).collect()}
+    assert len(got) == len(rows)
+    for parent in sorted({r[0] for r in rows}):
+        own = [(c, cap, weights["child"].get(c, 1.0)) for p, c, cap, _ in rows if p == parent]
+        left = next(b for p, _, _, b in rows if p == parent)
+        rest = sorted((cap / w, cap, w, c) for c, cap, w in own if w > 0)
+        want, heavy = {c: 0.0 for c, _, _ in own}, sum(w for _, _, w, _ in rest)
+        for _, cap, w, c in rest:
+            want[c] = min(cap, left * w / heavy)
+            left, heavy = left - want[c], heavy - w
+        alone = {r["child"]: r["quota"] for r in mixing.fill(nodes.where(F.col("parent") == parent), [], "child", weights).collect()} if parent in ("p0", "p1", "p2") else {}
+        for c in want:
+            assert got[parent, c] == pytest.approx(want[c], rel=1e-9, abs=1e-6) and alone.get(c, got[parent, c]) == pytest.approx(got[parent, c])
+
+
 def test_prefixes_of_epochs(spark):
     rng = random.Random(9)
     rows = [(i, "w " * rng.randrange(0, 30), "en", f"src{i % 2}", None) for i in range(400)]
