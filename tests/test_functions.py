@@ -111,6 +111,46 @@ def test_rdf_records(spark):
             rdf.record_lines(*bad, p, c, e, d, "urn:x:").collect()
 
 
+def test_rdf_decisions_are_the_lines_of_whole_records(spark, sf):
+    """The query makes the lines in place; frames of the same records, joined by ``record_lines``, give the same ones."""
+    import re
+
+    from pyspark.sql import Window
+
+    from orrery.operators import decide
+    from orrery.plans import adapters, catalogue
+
+    o, entries, one = adapters.observations(spark, sf), catalogue._posterior(spark, sf), F.lit(1)
+    i = o.select(F.col("observation_id").alias("inference_id"), "observation_id", F.col("version").alias("host_snapshot"), one.alias("candidate_version"), one.alias("solver_version"), F.lit("Exact").alias("reason"))
+    artifact = [one.alias("provider_id"), one.alias("schema_id"), one.alias("model_version"), F.lit(0).alias("calibration_id")]
+    w = Window.partitionBy("inference_id").orderBy("identity_id")
+    c = entries.where("outcome_rank = 0").select("inference_id", (F.row_number().over(w) - 1).alias("ordinal"), F.col("score").alias("value"), F.lit("LogPotential").alias("semantics"), *artifact, F.lit("events").alias("validity_domain"))
+    d = decide.decide(entries, catalogue.LOSSES).select("inference_id", F.col("inference_id").alias("decision_id"), one.alias("policy_version"), one.alias("loss_version"), "action")
+    apart = rdf.record_lines(o, i, i.select("inference_id", *artifact, F.lit(0).alias("ordinal")), c, entries, d, "urn:orrery:")
+    key = lambda r: (r["inference_id"], r["part"], r["place"])
+    found = catalogue.rdf_decisions(spark, sf)
+    assert found.columns == apart.columns
+    x, y = ({key(r): r["line"] for r in f.collect()} for f in (found, apart))
+    assert len(x) == found.count() and x.keys() == y.keys()
+    split = re.compile(r"(?<=li:probability )[0-9.]+")  # sums of probabilities have no fixed order there
+    assert all(split.sub("", x[k]) == split.sub("", y[k]) for k in x)
+    assert all(abs(float(split.search(x[k])[0]) - float(split.search(y[k])[0])) < 1e-14 for k in x if k[1] == 4)
+
+
+def test_packed_records(spark):
+    r = spark.sql("""SELECT 2L AS inference_id, 1L AS observation_id, 3L AS decision_id, 5L AS source_id, 20L AS event_time, 10L AS ingestion_time, 'ab' AS content_hash, 7L AS host_snapshot, 8L AS candidate_version,
+      9L AS solver_version, 'Exact' AS reason, 11L AS policy_version, 12L AS loss_version, 'new' AS action, array(named_struct('provider_id', 1, 'schema_id', 2, 'model_version', 3, 'calibration_id', 4, 'ordinal', 0)) AS providers,
+      array(named_struct('ordinal', 0, 'digits', '-0.5', 'semantics', 'LogPotential', 'provider_id', 1, 'model_version', 3, 'calibration_id', 4, 'validity_domain', 'a "b"')) AS scores,
+      array(named_struct('outcome_rank', 1, 'identity_id', CAST(NULL AS BIGINT), 'digits', '0.75'), named_struct('outcome_rank', 2, 'identity_id', CAST(NULL AS BIGINT), 'digits', '0.25')) AS entries""")
+    lines = [(x["part"], x["place"], x["line"]) for x in rdf.packed_lines(r, "urn:x:", "rdf12").orderBy("part", "place").collect()]
+    assert [x[:2] for x in lines] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (5, 0)]
+    assert 'li:validityDomain "a \\"b\\""' in lines[3][2] and "rdf:reifies <<( <urn:x:observation/1> li:candidateTarget li:noise )>>" in lines[6][2] and 'li:action "new"' in lines[7][2]
+    with pytest.raises(Exception, match="InvalidLineage"):
+        rdf.packed_lines(r.withColumn("observation_id", F.lit(None).cast("long")), "urn:x:").collect()
+    with pytest.raises(ValueError):
+        rdf.packed_lines(r, "not an iri")
+
+
 def test_evaluation_plan():
     from dataclasses import replace
 

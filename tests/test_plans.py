@@ -38,3 +38,12 @@ def test_softmax_and_decision_share_one_shuffle(spark, sf):
     """Posterior and decision group by the same key: one exchange of the entries, none between the two."""
     text = plan(catalogue.queries()["bayes_decide"](spark, sf))
     assert len(re.findall(r"Exchange hashpartitioning\(inference_id", text)) == 1
+
+
+def test_export_shuffles_no_pairs(spark, sf):
+    """Events and users are dealt out, once each; what is made of their pairs stays where it is made."""
+    text = plan(catalogue.queries()["rdf_decisions"](spark, sf))
+    assert "Window" not in text and "Exchange hashpartitioning(inference_id" not in text
+    rows = text.splitlines()
+    top = next(i for i, x in enumerate(rows) if "Join" in x)
+    assert not any("Exchange" in x or "Aggregate" in x or "Sort" in x for x in rows[:top])
