@@ -139,14 +139,17 @@ def test_rdf_decisions_are_the_lines_of_whole_records(spark, sf):
 
 def test_packed_records(spark):
     r = spark.sql("""SELECT 2L AS inference_id, 1L AS observation_id, 3L AS decision_id, 5L AS source_id, 20L AS event_time, 10L AS ingestion_time, 'ab' AS content_hash, 7L AS host_snapshot, 8L AS candidate_version,
-      9L AS solver_version, 'Exact' AS reason, 11L AS policy_version, 12L AS loss_version, 'new' AS action, array(named_struct('provider_id', 1, 'schema_id', 2, 'model_version', 3, 'calibration_id', 4, 'ordinal', 0)) AS providers,
-      array(named_struct('ordinal', 0, 'digits', '-0.5', 'semantics', 'LogPotential', 'provider_id', 1, 'model_version', 3, 'calibration_id', 4, 'validity_domain', 'a "b"')) AS scores,
-      array(named_struct('outcome_rank', 1, 'identity_id', CAST(NULL AS BIGINT), 'digits', '0.75'), named_struct('outcome_rank', 2, 'identity_id', CAST(NULL AS BIGINT), 'digits', '0.25')) AS entries""")
+      9L AS solver_version, 'Exact' AS reason, 11L AS policy_version, 12L AS loss_version, 'new' AS action, 1 AS provider_id, 2 AS schema_id, 3 AS model_version, 4 AS calibration_id, 'LogPotential' AS semantics, 'a "b"' AS validity_domain,
+      array(6L) AS candidates, array('-0.5') AS score_digits, array('0.5', '0.25', '0.25') AS digits""")
     lines = [(x["part"], x["place"], x["line"]) for x in rdf.packed_lines(r, "urn:x:", "rdf12").orderBy("part", "place").collect()]
-    assert [x[:2] for x in lines] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (5, 0)]
-    assert 'li:validityDomain "a \\"b\\""' in lines[3][2] and "rdf:reifies <<( <urn:x:observation/1> li:candidateTarget li:noise )>>" in lines[6][2] and 'li:action "new"' in lines[7][2]
-    with pytest.raises(Exception, match="InvalidLineage"):
-        rdf.packed_lines(r.withColumn("observation_id", F.lit(None).cast("long")), "urn:x:").collect()
+    assert [x[:2] for x in lines] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (4, 2), (5, 0)]
+    assert 'li:validityDomain "a \\"b\\""' in lines[3][2] and "rdf:reifies <<( <urn:x:observation/1> li:candidateTarget li:noise )>> ; li:probability 0.25 " in lines[7][2] and 'li:action "new"' in lines[8][2]
+    assert "li:candidateTarget <urn:x:identity/6> )>> ; li:probability 0.5 " in lines[5][2]
+    alone = r.withColumns({"candidates": F.slice("candidates", 1, 0), "score_digits": F.slice("score_digits", 1, 0), "digits": F.slice("digits", 2, 2)})
+    assert [(x["part"], x["place"]) for x in rdf.packed_lines(alone, "urn:x:").orderBy("part", "place").collect()] == [(0, 0), (1, 0), (2, 0), (4, 0), (4, 1), (5, 0)]
+    for bad in (r.withColumn("observation_id", F.lit(None).cast("long")), r.withColumn("digits", F.slice("digits", 1, 2))):
+        with pytest.raises(Exception, match="InvalidLineage"):
+            rdf.packed_lines(bad, "urn:x:").collect()
     with pytest.raises(ValueError):
         rdf.packed_lines(r, "not an iri")
 
