@@ -137,17 +137,33 @@ def test_rdf_decisions_are_the_lines_of_whole_records(spark, sf):
     assert all(abs(float(split.search(x[k])[0]) - float(split.search(y[k])[0])) < 1e-14 for k in x if k[1] == 4)
 
 
+def test_digits_in_generated_code_are_exact(spark):
+    import random
+
+    r = random.Random(7)
+    values = [0.0, -0.0, 1.0, -1.0, 0.1, 0.5, 5e-18, -5e-18, 4.9e-18, 1e-300, 5e-324, 1 - 2**-53, 2.0**53, 2.0**62, -9999.999999999, math.nextafter(1, 2)]
+    # exact halves of the last place, which go to the even one, and their neighbours
+    ties = [(2 * k + 1) / 2**18 for k in range(40)] + [3 + 5 / 2**18, 7 / 2**18 + 100]
+    values += [y for t in ties for y in (t, math.nextafter(t, 0), math.nextafter(t, 9e9))]
+    values += [math.exp(r.uniform(-60, 1)) * r.choice((-1, 1)) for _ in range(20_000)] + [r.uniform(-1, 1) * 10 ** r.randint(-20, 18) for _ in range(20_000)] + [round(r.uniform(-9000, 0), 9) for _ in range(10_000)]
+    found = rdf.with_digits(spark.createDataFrame([(x,) for x in [*values, None]], "x double"), "x", "d").collect()
+    assert all(row["d"] == (None if row["x"] is None else f"{row['x']:.17f}") for row in found) and len(found) == len(values) + 1
+    for bad in (math.nan, math.inf, -(2.0**63)):
+        with pytest.raises(Exception, match="OutOfRange"):
+            rdf.with_digits(spark.createDataFrame([(bad,)], "x double"), "x", "d").collect()
+
+
 def test_packed_records(spark):
     r = spark.sql("""SELECT 2L AS inference_id, 1L AS observation_id, 3L AS decision_id, 5L AS source_id, 20L AS event_time, 10L AS ingestion_time, 'ab' AS content_hash, 7L AS host_snapshot, 8L AS candidate_version,
       9L AS solver_version, 'Exact' AS reason, 11L AS policy_version, 12L AS loss_version, 'new' AS action, 1 AS provider_id, 2 AS schema_id, 3 AS model_version, 4 AS calibration_id, 'LogPotential' AS semantics, 'a "b"' AS validity_domain,
-      array(6L) AS candidates, array('-0.5') AS score_digits, array('0.5', '0.25', '0.25') AS digits""")
+      array(6L) AS candidates, array(-0.5D) AS scores, array(0.5D, 0.25D, 0.25D) AS probabilities""")
     lines = [(x["part"], x["place"], x["line"]) for x in rdf.packed_lines(r, "urn:x:", "rdf12").orderBy("part", "place").collect()]
     assert [x[:2] for x in lines] == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 1), (4, 0), (4, 1), (4, 2), (5, 0)]
-    assert 'li:validityDomain "a \\"b\\""' in lines[3][2] and "rdf:reifies <<( <urn:x:observation/1> li:candidateTarget li:noise )>> ; li:probability 0.25 " in lines[7][2] and 'li:action "new"' in lines[8][2]
-    assert "li:candidateTarget <urn:x:identity/6> )>> ; li:probability 0.5 " in lines[5][2]
-    alone = r.withColumns({"candidates": F.slice("candidates", 1, 0), "score_digits": F.slice("score_digits", 1, 0), "digits": F.slice("digits", 2, 2)})
+    assert 'li:validityDomain "a \\"b\\""' in lines[3][2] and "rdf:reifies <<( <urn:x:observation/1> li:candidateTarget li:noise )>> ; li:probability 0.25000000000000000 " in lines[7][2] and 'li:action "new"' in lines[8][2]
+    assert "li:candidateTarget <urn:x:identity/6> )>> ; li:probability 0.50000000000000000 " in lines[5][2]
+    alone = r.withColumns({"candidates": F.slice("candidates", 1, 0), "scores": F.slice("scores", 1, 0), "probabilities": F.slice("probabilities", 2, 2)})
     assert [(x["part"], x["place"]) for x in rdf.packed_lines(alone, "urn:x:").orderBy("part", "place").collect()] == [(0, 0), (1, 0), (2, 0), (4, 0), (4, 1), (5, 0)]
-    for bad in (r.withColumn("observation_id", F.lit(None).cast("long")), r.withColumn("digits", F.slice("digits", 1, 2))):
+    for bad in (r.withColumn("observation_id", F.lit(None).cast("long")), r.withColumn("probabilities", F.slice("probabilities", 1, 2))):
         with pytest.raises(Exception, match="InvalidLineage"):
             rdf.packed_lines(bad, "urn:x:").collect()
     with pytest.raises(ValueError):
