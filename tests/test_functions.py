@@ -137,6 +137,19 @@ def test_rdf_decisions_are_the_lines_of_whole_records(spark, sf):
     assert all(abs(float(split.search(x[k])[0]) - float(split.search(y[k])[0])) < 1e-14 for k in x if k[1] == 4)
 
 
+def test_action_of_arrays_is_the_decision(spark):
+    from orrery.operators import decide
+
+    cases = {1: [0.5, 0.3, 0.2], 2: [0.25, 0.25, 0.25, 0.25], 3: [0.4, 0.6], 4: [0.5, 0.5], 5: [0.1, 0.2, 0.7], 6: [0.7, 0.1, 0.2], 7: [0.2, 0.4, 0.4], 8: [0.4, 0.2, 0.4], 9: [1e-20, 2e-20, 0.5, 0.5]}
+    rows = [(k, 0 if i < len(p) - 2 else i - len(p) + 3, i if i < len(p) - 2 else None, x) for k, p in cases.items() for i, x in enumerate(p)]
+    entries = spark.createDataFrame(rows, "inference_id long, outcome_rank int, identity_id long, p double")
+    arrays = spark.createDataFrame([(k, p[:-2], p[-2], p[-1]) for k, p in cases.items()], "inference_id long, known array<double>, new double, noise double")
+    for losses in (decide.Losses(), decide.Losses(abstain=2.0), decide.Losses(false_assign=8.0, false_noise=1.0, abstain=3.0)):
+        there = {r["inference_id"]: r["action"] for r in decide.decide(entries, losses).collect()}
+        here = arrays.select("inference_id", decide.action_of(F.col("known"), F.col("new"), F.col("noise"), losses).alias("a")).collect()
+        assert {r["inference_id"]: r["a"] for r in here} == there
+
+
 def test_digits_in_generated_code_are_exact(spark):
     import random
 
