@@ -55,3 +55,14 @@ def test_export_shuffles_events_as_they_are_read(spark, sf):
     dealt = next(i for i, x in enumerate(rows) if "REPARTITION_BY_NUM" in x)
     assert any("sha2" in x for x in rows[:dealt])
     assert not any(re.search("sha2|unix_micros|FLOOR", x) for x in rows[dealt:])
+
+
+def test_export_has_the_parts_of_the_join(spark, sf):
+    """With fewer parts than the session's, adaptive execution was seen to deal the events out twice."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        rows = plan(catalogue.queries()["rdf_decisions"](spark, sf)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [", 50)" in x for x in rows if "REPARTITION_BY_NUM" in x] == [True]
